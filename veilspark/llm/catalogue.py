@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from veilspark.llm import exact_dedup, simhash_dedup
+from veilspark.llm import bpe, exact_dedup, license_scan, line_dedup, secret_scan, simhash_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_secret_scan": secret_scan.op1_secret_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op6_bpe": bpe.op6_bpe,
+        "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op9_license_scan": license_scan.op9_license_scan,
         "op10_simhash": simhash_dedup.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL}
+    return {"op1_secret_scan": secret_scan.SQL, "op4_exact_dedup": exact_dedup.SQL, "op7_line_dedup": line_dedup.SQL}
