@@ -78,7 +78,8 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     rows = materialize(digests(docs))
     best = F.max(F.struct("chars", (-F.col("doc_id")).alias("negative_id")))
     groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", (-F.col("best.negative_id")).alias("keep_id"), "group_size")
+    # Written before the anti-join, which the optimizer would otherwise push below the aggregation, onto every row.
+    groups = materialize(groups.select("digest", (-F.col("best.negative_id")).alias("keep_id"), "group_size"))
     fresh = materialize(index.unseen(groups))
     index.append(fresh)
     # Both sides are plain scans, so that adaptive execution can split the partitions of hot digests.
