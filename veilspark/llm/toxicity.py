@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import sys
 import zlib
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ DIMS = 1 << 16
 LANDMARKS = 256
 #: Bounds of the fit: labelled documents, and distinct words of each class.
 MAX_TRAIN = 6000
-FIT_WORDS = 20_000
+FIT_WORDS = 12_000
 #: Words of a toxic text that stand for it after the first round.
 WITNESSES = 3
 #: Weight of clean words against witnesses.
@@ -92,7 +93,7 @@ def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
     table = np.zeros((DIMS, len(landmarks)), np.float32)
     table[h, i] = v
     out = np.zeros((len(words), len(landmarks)), np.float32)
-    for part, rows in _parts(words):
+    for part, rows in _parts(words, symbols=1 << 12):  # a row of landmarks for each subsequence
         i, h, v = _vectors(part)
         starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
         if len(i):
@@ -196,7 +197,7 @@ def fit(texts: list[bytes], labels: list[int], landmarks: int = LANDMARKS, c: fl
     The first round takes every word of a toxic text for an example of its label; the next ones only the words that
     score best in their text. A logistic curve turns a text's two largest margins into its score.
     """
-    y01, words = np.array(labels, int), [words_of(t) for t in texts]
+    y01, words = np.array(labels, int), [set(map(sys.intern, words_of(t))) for t in texts]
     n_bad, n_good = int(y01.sum()), int(len(y01) - y01.sum())
     if not n_bad or not n_good:
         return Model(["toxic"], np.zeros(1), -1.0, np.array([0.0, 0.0, -4.0 if not n_bad else 4.0]))
