@@ -83,7 +83,7 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     fresh = materialize(index.unseen(groups))
     index.append(fresh)
     # Both sides are plain scans, so that adaptive execution can split the partitions of hot digests.
-    known = docs.sparkSession.read.parquet(index.path).select("digest", "keep_id", "group_size")
+    known = docs.sparkSession.read.schema("digest binary, keep_id long, group_size long").parquet(index.path).select("digest", "keep_id", "group_size")
     marked = fresh.select("digest", F.lit(True).alias("fresh"))
     verdict = materialize(known.join(marked, "digest", "left").select("digest", "keep_id", "group_size", F.coalesce("fresh", F.lit(False)).alias("fresh")))
     return rows.join(verdict, "digest", "left").select(

@@ -35,6 +35,8 @@ MAX_TRAIN = 6000
 FIT_WORDS = 12_000
 #: Words of a toxic text that stand for it after the first round.
 WITNESSES = 3
+#: Margin of a word that isn't there: a clean one's.
+NO_WORD = -1.0
 #: Weight of clean words against witnesses.
 CLEAN = 10.0
 #: Words a worker remembers before it starts afresh.
@@ -130,14 +132,14 @@ class Scorer:
             self.known.update(zip(part, margin.tolist()))
 
     def top(self, texts: list[set[str]]) -> np.ndarray:
-        """The two largest margins of each text's words; a text without words has the bias alone."""
+        """The two largest margins of each text's words; where there are fewer, a clean word's stand for them."""
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = set().union(*texts) - self.known.keys()
         if new:
             self.learn(list(new))
         known = self.known.__getitem__
-        return np.array([(heapq.nlargest(2, map(known, words)) + [self.bias] * 2)[:2] for words in texts]).reshape(-1, 2)
+        return np.array([(heapq.nlargest(2, map(known, words)) + [NO_WORD] * 2)[:2] for words in texts]).reshape(-1, 2)
 
 
 @dataclass
@@ -275,7 +277,7 @@ def _scores(model: Model, texts: list[bytes]) -> list[float]:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of ``docs``: probability that the text is toxic, from the whole text alone.
 
-    Null and empty texts have no words and get the score of a text without any similarity. An empty table gives no rows.
+    Null and empty texts have no words and get the score of clean words. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -49,6 +49,8 @@ def path_of(url: Column) -> Column:
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     """struct<size,rule,verdict> of the longest rule that fits, else null. Rules are a short list of literals."""
+    if not rules:
+        return F.lit(None).cast("struct<size:int,rule:string,verdict:string,h:string,p:string>")
     table = F.array(*[F.struct(F.lit(len(h + p)).alias("size"), F.lit(h + p).alias("rule"), F.lit(v).alias("verdict"), F.lit(h).alias("h"), F.lit(p).alias("p")) for v, h, p in rules])
     fits = F.filter(table, lambda r: ((host == r["h"]) | host.endswith(F.concat(F.lit("."), r["h"]))) & path.startswith(r["p"]))
     return F.array_max(fits)
