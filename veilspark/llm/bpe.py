@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
-The ranked merges are a fold of Spark's higher-order functions over the bytes of distinct words, with the rank file as
-a literal: an array of small maps, addressed by the hash of the merged piece, so that a look-up costs a few comparisons.
+The ranked merges are a fold of Spark's higher-order functions over the byte arrays of distinct words, with the rank map
+as a literal: pairs of ids in short lists, addressed by a hash of the pair, so that a look-up costs a few comparisons.
 
 1. Texts are cut by the vocabulary's pattern and all words of the corpus are counted (partial sums before the shuffle).
 2. The most frequent words, at most ``DICTIONARY_WORDS`` of them (a histogram of counts finds the limit), are folded
-   once each; this bounded dictionary is sent to the executors.
+   once each; this bounded dictionary and the rank file's own words are sent to the executors.
 3. Texts are cut again. Known words become ids at once; the few others travel beside the document as a list of distinct
    words, are folded there by the same expression, and fill their places. Nothing is shuffled by document, and the
    result doesn't depend on which words the dictionary holds.
@@ -23,11 +23,11 @@ import re
 import struct
 import sys
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,19 +37,35 @@ from veilspark.llm.common import map_batches, materialize
 DICTIONARY_WORDS = 1 << 19
 #: Longer pieces (runs of one letter, unbroken junk) are merged with a heap where they occur.
 LONG = 64
-SLOTS = 1 << 14
+SLOTS = 65_521
 #: Counts leave a task in portions of so many distinct words.
-FLUSH = 200_000
+FLUSH = 400_000
+
+
+class Splitter:
+    """``pattern`` for the standard library: \\p{L}, \\p{N} and \\s written out as ranges of code points.
+
+    Texts within the basic plane, nearly all, use classes cut off there, which the library looks up in bitmaps.
+    """
+
+    def __init__(self, pattern: str):
+        self.beyond = re.compile("[\U00010000-\U0010ffff]").search
+        self.basic, self.full = (_compiled(pattern, top).findall for top in (0xFFFF, sys.maxunicode))
+
+    def findall(self, text: str) -> list[str]:
+        return (self.basic if text.isascii() or not self.beyond(text) else self.full)(text)
 
 
 @lru_cache(maxsize=4)
-def splitter(pattern: str) -> re.Pattern:
-    """``pattern`` for the standard library: \\p{L}, \\p{N} and \\s written out as ranges of code points."""
+def splitter(pattern: str) -> Splitter:
+    return Splitter(pattern)
 
+
+def _compiled(pattern: str, top: int) -> re.Pattern:
     def ranges(test) -> str:
         out, start = [], None
-        for c in range(sys.maxunicode + 2):
-            if c <= sys.maxunicode and test(chr(c)):
+        for c in range(top + 2):
+            if c <= top and test(chr(c)):
                 start = c if start is None else start
             elif start is not None:
                 out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
@@ -85,57 +101,44 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def _slot(piece: str) -> int:
-    h = xxhash.xxh64_intdigest(piece.encode(), 42)
-    return (h - (1 << 64) if h >> 63 else h) % SLOTS
-
-
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: ranks by the upper-case hex of their bytes, in the slot of that string's hash.
+def pair_literal(ranks: dict[bytes, int]) -> Column:
+    """array<map<bigint,bigint>>: the id of every pair that merges by left id * 65536 + right id, in slots.
 
     The JSON text is constant and is folded into one literal when the plan is made.
     """
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    slots: list[dict[int, int]] = [{} for _ in range(SLOTS)]
     for piece, rank in ranks.items():
-        h = piece.hex().upper()
-        slots[_slot(h)][h] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+        for cut in range(1, len(piece)):
+            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
+            if left is not None and right is not None:
+                key = left * 65536 + right
+                slots[key % SLOTS][key] = rank
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
-def fold_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word (binary): ranked merges as a fold over its bytes.
+def fold_word(word: Column, ranks: dict[bytes, int], pairs: Column) -> Column:
+    """Ids of one word (array of its bytes): ranked merges as a fold over the array.
 
-    Each step finds the adjacent pair with the smallest rank, the leftmost of equals, and merges it; a word without such
-    a pair is left as it is by the remaining steps.
+    Each step ranks the adjacent pairs, finds the smallest, the leftmost of equals, and merges it; a word without such
+    a pair is left as it is by the remaining steps. Words that are in the rank file themselves are not for this fold.
     """
-    hexed = F.hex(word)
+    single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
-    def rank(piece: Column) -> Column:
-        return F.try_element_at(F.get(ranks, F.pmod(F.xxhash64(piece), F.lit(SLOTS)).cast("int")), piece)
+    def rank(left: Column, right: Column) -> Column:
+        key = left * 65536 + right
+        return F.try_element_at(F.get(pairs, (key % SLOTS).cast("int")), key)
+
+    def merge(parts: Column, ranked: Column, at: Column) -> Column:
+        both = F.array(F.get(ranked, at - 1))
+        return F.when(at.isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), both, F.slice(parts, at + 2, F.lit(LONG))))
 
     def step(parts: Column, _: Column) -> Column:
-        pairs = F.sequence(F.lit(1), F.size(parts) - 1)
-        scored = F.transform(pairs, lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))).cast("long") * 65536 + i)
-        best = F.when(F.size(parts) > 1, F.array_min(scored))
-        # One-element arrays name the position, so that it is worked out once.
-        merged = F.transform(
-            F.array((best % 65536).cast("int")),
-            lambda at: F.when(at.isNull(), parts).otherwise(
-                F.concat(
-                    F.slice(parts, F.lit(1), at - 1),
-                    F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))),
-                    F.slice(parts, at + 2, F.size(parts)),
-                )
-            ),
-        )
-        return F.get(merged, F.lit(0))
-
-    n = F.octet_length(word)
-    single = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(hexed, i * 2 - 1, F.lit(2)))
-    steps = F.when(n > 1, F.sequence(F.lit(2), n)).otherwise(F.array().cast("array<int>"))
-    parts = F.aggregate(steps, single, step)
-    whole = rank(hexed)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(parts, rank))
+        ranked = F.zip_with(parts, F.slice(parts, F.lit(2), F.lit(LONG)), rank)
+        # One-element arrays name the ranks and the place of the smallest, so that each is worked out once.
+        place = lambda r: F.array(F.array_position(r, F.array_min(r)).cast("int"))
+        return F.get(F.get(F.transform(F.array(ranked), lambda r: F.transform(place(r), lambda at: merge(parts, r, at))), F.lit(0)), F.lit(0))
+
+    return F.aggregate(F.slice(word, F.lit(2), F.lit(LONG)), F.transform(word, lambda b: F.get(single, b.cast("int"))), step)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -161,24 +164,24 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def word_counts(docs: DataFrame, pattern: str) -> DataFrame:
-    """(word binary, n): how often each piece of at most ``LONG`` bytes occurs in all texts."""
+def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """(word, n): how often each piece of at most ``LONG`` bytes that is no entry of the rank file occurs in all texts."""
 
     def run(batch: pa.RecordBatch):
-        cut, seen = splitter(pattern).findall, {}
+        cut, seen = splitter(pattern).findall, Counter()
         for text in batch.column(0).to_pylist():
-            for piece in cut(text):
-                seen[piece] = seen.get(piece, 0) + 1
+            seen.update(cut(text))
             if len(seen) > FLUSH:
                 yield _portion(seen)
-                seen = {}
+                seen = Counter()
         yield _portion(seen)
 
-    def _portion(seen: dict[str, int]) -> dict:
-        words = [(w, n) for s, n in seen.items() if len(w := s.encode()) <= LONG]
-        return {"word": [w for w, _ in words], "n": [n for _, n in words]}
+    def _portion(seen: Counter) -> dict:
+        words = [(w, n) for s, n in seen.items() if len(w := s.encode()) <= LONG and w not in own.value]
+        return {"word": _listed([w for w, _ in words]), "n": [n for _, n in words]}
 
-    counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word binary, n long")
+    own = docs.sparkSession.sparkContext.broadcast(ranks)
+    counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word array<smallint>, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -188,7 +191,7 @@ def _band(n: Column) -> Column:
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> dict[str, bytes]:
     """The most frequent words, at most ``most``, with their ids packed as 32-bit integers."""
-    counts = materialize(word_counts(docs, pattern))
+    counts = materialize(word_counts(docs, ranks, pattern))
     bands = counts.groupBy(_band(F.col("n")).alias("band")).count().orderBy(F.desc("band")).collect()  # under 256 rows
     total, least = 0, math.inf
     for band, n in bands:
@@ -198,27 +201,63 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
     if least == math.inf:
         return {}
     known = counts.where(_band(F.col("n")) >= least).select("word")
-    folded = known.select("word", fold_word(F.col("word"), rank_literal(ranks)).alias("ids"))
-    packed = map_batches(folded, lambda b: iter([{"word": b.column(0), "ids": _packed(b.column(1))}]), "word binary, ids binary")
-    return {bytes(w).decode(): bytes(i) for w, i in packed.toLocalIterator(prefetchPartitions=True)}
+    folded = known.select("word", fold_word(F.col("word"), ranks, pair_literal(ranks)).cast("array<int>").alias("ids"))
+    packed = map_batches(folded, lambda b: iter([{"word": _flat(b.column(0)), "ids": _flat(b.column(1), "<i4")}]), "word binary, ids binary")
+    return {bytes(w).decode(): bytes(i) for w, i in materialize(packed).toLocalIterator()}
+
 
+def _flat(lists: pa.Array, kind: str = "u1") -> list[bytes]:
+    """Lists of small integers as bytes of that kind."""
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), lists.offsets.to_pylist()
+    size = np.dtype(kind).itemsize
+    return [values[(a - ends[0]) * size : (b - ends[0]) * size] for a, b in zip(ends, ends[1:])]
 
-def _packed(lists: pa.Array) -> list[bytes]:
-    return [struct.pack(f"<{len(x)}i", *x) for x in lists.to_pylist()]
 
+def _listed(words: list[bytes]) -> pa.Array:
+    """Byte arrays, as Spark's arrays of small integers."""
+    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(flat))
 
-class _Ids(dict):
-    """Packed ids by word; unknown words get the negative number of their place among the document's own words."""
 
-    def start(self, ranks: dict[bytes, int]) -> None:
-        self.rare: dict[str, int] = {}
+#: Stands where a word's ids are yet to come.
+GAP = struct.pack("<i", -1)
+
+
+class _Words(dict):
+    """Packed ids by word. For unknown words it returns ``GAP`` and notes them as the document's own."""
+
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
+        super().__init__(known)
         self.ranks = ranks
 
+    def start(self) -> None:
+        self.own: dict[str, int] = {}
+        self.gaps: list[int] = []
+
     def __missing__(self, word: str) -> bytes:
         raw = word.encode()
+        if (rank := self.ranks.get(raw)) is not None:
+            self[word] = packed = struct.pack("<i", rank)
+            return packed
         if len(raw) > LONG:
-            return struct.pack(f"<{len(i := merge_long(raw, self.ranks))}i", *i)
-        return struct.pack("<i", -1 - self.rare.setdefault(word, len(self.rare)))
+            ids = merge_long(raw, self.ranks)
+            return struct.pack(f"<{len(ids)}i", *ids)
+        self.gaps.append(self.own.setdefault(word, len(self.own)))
+        return GAP
+
+
+def _runs(texts: list[bytes]) -> pa.Array:
+    """Packed ids of each text as runs between gaps: array<array<int>>."""
+    flat = np.frombuffer(b"".join(texts), np.int32)
+    ends = np.cumsum([len(t) // 4 for t in texts]).astype(np.int64)
+    gaps = np.flatnonzero(flat < 0)
+    # A text ends before a gap at the same place, which is the next text's.
+    bounds = np.sort(np.concatenate([ends * 2, gaps * 2 + 1]))
+    at = bounds // 2
+    run_ends = at - np.searchsorted(gaps, at)
+    rows = np.arange(1, len(ends) + 1) + np.searchsorted(gaps, ends)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, run_ends].astype(np.int32)), pa.array(flat[flat >= 0]))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, rows].astype(np.int32)), lists)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -232,34 +271,34 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
     shared = spark.sparkContext.broadcast(ranks)
 
     def run(batch: pa.RecordBatch):
-        cut, ids = splitter(pattern).findall, _worker_ids(known)
-        offsets, places, rare = [0], [], []
+        cut, ids = splitter(pattern).findall, _worker_words(known, shared)
+        texts, gaps, rare = [], [], []
         for text in batch.column(1).to_pylist():
-            ids.start(shared.value)
-            packed = b"".join([ids[w] for w in cut(text)])
-            places.append(packed)
-            offsets.append(offsets[-1] + len(packed) // 4)
-            rare.append([w.encode() for w in ids.rare])
-        flat = np.frombuffer(b"".join(places), np.int32)
-        yield {"doc_id": batch.column(0), "places": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), "rare": rare}
+            ids.start()
+            texts.append(b"".join([ids[w] for w in cut(text)]))
+            gaps.append(ids.gaps)
+            rare.append([list(w.encode()) for w in ids.own])
+        yield {"doc_id": batch.column(0), "runs": _runs(texts), "gaps": gaps, "rare": rare}
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = map_batches(texts, run, "doc_id long, places array<int>, rare array<binary>")
-    own = F.transform("rare", lambda w: fold_word(w, rank_literal(ranks)))
-    placed = placed.select("doc_id", "places", F.when(F.size("rare") > 0, own).alias("own"))
-    filled = F.flatten(F.transform("places", lambda i: F.when(i >= 0, F.array(i)).otherwise(F.get("own", -1 - i))))
-    return placed.select("doc_id", F.when(F.col("own").isNull(), F.col("places")).otherwise(filled).alias("ids"))
+    placed = map_batches(texts, run, "doc_id long, runs array<array<int>>, gaps array<int>, rare array<array<smallint>>")
+    pairs = pair_literal(ranks)
+    own = F.transform("rare", lambda w: fold_word(w, ranks, pairs).cast("array<int>"))
+    placed = placed.select("doc_id", "runs", "gaps", F.when(F.size("rare") > 0, own).alias("own"))
+    # Each run of known ids is followed by the word in the gap behind it.
+    filled = F.flatten(F.zip_with("runs", "gaps", lambda r, g: F.concat(r, F.coalesce(F.get("own", g), F.array().cast("array<int>")))))
+    return placed.select("doc_id", F.when(F.col("own").isNull(), F.get("runs", F.lit(0))).otherwise(filled).alias("ids"))
 
 
-_CACHE: dict[int, _Ids] = {}
+_CACHE: dict[int, _Words] = {}
 
 
-def _worker_ids(known) -> _Ids:
+def _worker_words(known, ranks) -> _Words:
     """The dictionary of a Python worker, built once and replaced when another broadcast arrives."""
     key = id(known.value)
     if key not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = _Ids(known.value)
+        _CACHE[key] = _Words(known.value, ranks.value)
     return _CACHE[key]
 
 
@@ -272,14 +311,18 @@ def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
 
 
-def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.PATTERN)
-    return encoded.select(
+def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of ``docs``."""
+    return encode(docs, rank_path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), load_ranks(path)), 256).alias("decoded_sha256"),
+        F.sha2(decode(F.col("ids"), load_ranks(rank_path)), 256).alias("decoded_sha256"),
     )
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
