@@ -32,7 +32,7 @@ DIMS = 1 << 16
 LANDMARKS = 256
 #: Bounds of the fit: labelled documents, and distinct words of each class.
 MAX_TRAIN = 6000
-FIT_WORDS = 12_000
+FIT_WORDS = 20_000
 #: Words of a toxic text that stand for it after the first round.
 WITNESSES = 3
 #: Margin of a word that isn't there: a clean one's.
