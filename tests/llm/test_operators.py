@@ -200,7 +200,12 @@ def test_bpe(spark, ranks):
     texts = ["aab aaab  ba'll é½\x1c\n\n x", "a" * 200 + "b" * 3, "", None, "日本 𝒜𝒷 1２", "abab" * 15]
     docs = table(spark, list(enumerate(texts)))
     for most in (3, 100_000):
-        out = bpe.encode(docs, ranks.path, pattern, most).select("doc_id", "ids", bpe.decode(F.col("ids"), bpe.load_ranks(ranks.path)).alias("back")).collect()
-        assert {r.doc_id: r.ids for r in out} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
-        assert all(bytes(r.back) == (texts[r.doc_id] or "").encode() for r in out)
-    assert hashlib.sha256(b"").hexdigest() == bpe.digests(table(spark, [(1, None)]), ranks.path, pattern).first().decoded_sha256
+        encoded = bpe.encode(docs, ranks.path, pattern, most)
+        assert {r.doc_id: r.ids for r in encoded.collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
+        back = bpe.decode(encoded, bpe.load_ranks(ranks.path)).collect()
+        assert {r.doc_id: bytes(r.raw) for r in back} == {i: (t or "").encode() for i, t in enumerate(texts)}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    wanted = {i: (enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in enumerate(texts)}
+    for r in bpe.digests(docs, ranks.path, pattern).collect():
+        ids, raw = wanted[r.doc_id]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(raw))

@@ -10,7 +10,7 @@ as a literal: pairs of ids in short lists, addressed by a hash of the pair, so t
    words, are folded there by the same expression, and fill their places. Nothing is shuffled by document, and the
    result doesn't depend on which words the dictionary holds.
 
-Decoding looks each id up in a literal array of pieces, joins the pieces and turns them back into bytes.
+Decoding concatenates the binary pieces of the ids: one gather from the table of pieces, document by document.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ import sys
 import unicodedata
 from collections import Counter
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -302,23 +303,57 @@ def _worker_words(known, ranks) -> _Words:
     return _CACHE[key]
 
 
-def decode(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The bytes of an array of ids: pieces from a literal array, joined in order."""
-    pieces = [""] * (max(ranks.values()) + 1)
+def piece_table(ranks: dict[bytes, int]) -> pa.Array:
+    """The binary piece of each id, at its place."""
+    pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece.hex().upper()
-    table = F.split(F.lit(" ".join(pieces)), " ")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
+        pieces[rank] = piece
+    return pa.array(pieces, pa.binary())
+
+
+def _joined(table: pa.Array, ids: pa.Array) -> memoryview:
+    """Entries of ``table`` for ``ids``, end to end: one gather leaves them so in its buffer."""
+    _, ends, data = table.take(ids).buffers()
+    end = int(np.frombuffer(ends, np.int32)[len(ids)]) if len(ids) else 0
+    return memoryview(data)[:end] if end else memoryview(b"")
+
+
+def _documents(ids: pa.ListArray) -> list[pa.Array]:
+    values, ends = ids.values, ids.offsets.to_pylist()
+    return [values.slice(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+    """(doc_id, raw binary): the pieces of each row's ``ids``, joined in order. No ids give no bytes."""
+    pieces = encoded.sparkSession.sparkContext.broadcast(piece_table(ranks))
+
+    def run(batch: pa.RecordBatch):
+        raw = [bytes(_joined(pieces.value, ids)) for ids in _documents(batch.column(1))]
+        yield {"doc_id": batch.column(0), "raw": raw}
+
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, raw binary")
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of ``docs``."""
-    return encode(docs, rank_path, pattern).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(decode(F.col("ids"), load_ranks(rank_path)), 256).alias("decoded_sha256"),
-    )
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row for each row of ``docs``.
+
+    Decodes as ``decode`` does, and hashes each document's bytes where they are joined.
+    """
+    ranks = load_ranks(rank_path)
+    pieces = docs.sparkSession.sparkContext.broadcast(piece_table(ranks))
+    decimals = docs.sparkSession.sparkContext.broadcast(pa.array([b"%d," % i for i in range(max(ranks.values()) + 1)], pa.binary()))
+
+    def run(batch: pa.RecordBatch):
+        each = _documents(batch.column(1))
+        yield {
+            "doc_id": batch.column(0),
+            "n_tokens": [len(ids) for ids in each],
+            "ids_sha256": [sha256(_joined(decimals.value, ids)[:-1]).hexdigest() for ids in each],
+            "decoded_sha256": [sha256(_joined(pieces.value, ids)).hexdigest() for ids in each],
+        }
+
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(encode(docs, rank_path, pattern), run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
