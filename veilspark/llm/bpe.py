@@ -190,8 +190,11 @@ def _band(n: Column) -> Column:
     return F.floor(F.log2(n.cast("double")) * 4).cast("int")
 
 
-def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> dict[str, bytes]:
-    """The most frequent words, at most ``most``, with their ids packed as 32-bit integers."""
+def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> list[tuple[bytes, ...]]:
+    """The most frequent words, at most ``most``, with their ids packed as 32-bit integers.
+
+    They come in blocks of (words, their ends, ids, their ends), a few flat buffers instead of an object for each word.
+    """
     counts = materialize(word_counts(docs, ranks, pattern))
     bands = counts.groupBy(_band(F.col("n")).alias("band")).count().orderBy(F.desc("band")).collect()  # under 256 rows
     total, least = 0, math.inf
@@ -200,18 +203,31 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
             break
         least = band
     if least == math.inf:
-        return {}
+        return []
     known = counts.where(_band(F.col("n")) >= least).select("word")
     folded = known.select("word", fold_word(F.col("word"), ranks, pair_literal(ranks)).cast("array<int>").alias("ids"))
-    packed = map_batches(folded, lambda b: iter([{"word": _flat(b.column(0)), "ids": _flat(b.column(1), "<i4")}]), "word binary, ids binary")
-    return {bytes(w).decode(): bytes(i) for w, i in materialize(packed).toLocalIterator()}
+    block = lambda b: iter([{name: [buffer] for name, buffer in zip(BLOCK, (*_flat(b.column(0)), *_flat(b.column(1), "<i4")))}])
+    packed = map_batches(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
+    return [tuple(map(bytes, row)) for row in materialize(packed).collect()]
+
+
+def _unpacked(blocks: list[tuple[bytes, ...]]) -> dict[str, bytes]:
+    out = {}
+    for words, word_ends, ids, id_ends in blocks:
+        a = c = 0
+        for b, d in zip(np.frombuffer(word_ends, "<i4").tolist(), np.frombuffer(id_ends, "<i4").tolist()):
+            out[words[a:b].decode()] = ids[c:d]
+            a, c = b, d
+    return out
+
+
+BLOCK = ("words", "word_ends", "ids", "id_ends")
 
 
-def _flat(lists: pa.Array, kind: str = "u1") -> list[bytes]:
-    """Lists of small integers as bytes of that kind."""
-    values, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), lists.offsets.to_pylist()
-    size = np.dtype(kind).itemsize
-    return [values[(a - ends[0]) * size : (b - ends[0]) * size] for a, b in zip(ends, ends[1:])]
+def _flat(lists: pa.ListArray, kind: str = "u1") -> tuple[bytes, bytes]:
+    """Lists of small integers as bytes of that kind, and where each list ends in them."""
+    ends = (lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()) * np.dtype(kind).itemsize
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), ends.astype("<i4").tobytes()
 
 
 def _listed(words: list[bytes]) -> pa.Array:
@@ -227,8 +243,8 @@ GAP = struct.pack("<i", -1)
 class _Words(dict):
     """Packed ids by word. For unknown words it returns ``GAP`` and notes them as the document's own."""
 
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__(known)
+    def __init__(self, known: list[tuple[bytes, ...]], ranks: dict[bytes, int]):
+        super().__init__(_unpacked(known))
         self.ranks = ranks
 
     def start(self) -> None:
