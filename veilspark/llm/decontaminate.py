@@ -1,11 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-1. The benchmark's word n-grams are counted over all training texts (documents that hold them; partial sums before the
-   shuffle).
-2. Each test item keeps its rarer n-grams as seeds: those of at most the item's median document count, and all that are
-   rare in absolute terms. However common a leaked passage has become, its item keeps half of its n-grams.
-3. Training texts are cut into overlapping passages; a passage with a seed is joined to the seed's items.
-4. Each distinct pair of passage and item is aligned word by word (match, mismatch and gap scores); an item leaks into a
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+1. All word n-grams of an item are its seeds. Rarity doesn't choose among them, as an item's own leaks make the n-grams
+   common that edited copies keep.
+2. Training texts are cut into overlapping passages; a passage with a seed is a candidate for the seed's items, unless
+   it holds too few of an item's words for any alignment to pass.
+3. Each distinct pair of passage and item is aligned word by word (match, mismatch and gap scores); an item leaks into a
    document if its best local alignment covers enough of it.
 
 The benchmark is a query set of its own size. It is taken in blocks, so that what travels to the executors is bounded.
@@ -14,20 +13,17 @@ The benchmark is a query set of its own size. It is taken in blocks, so that wha
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, map_batches, materialize
 
 N = 3
-#: Seeds in at most so many documents are always rare.
-RARE = 16
 #: Items of one block; their n-grams are sent to the executors.
 BLOCK_ITEMS = 20_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -43,72 +39,50 @@ def words_of(text: bytes) -> list[bytes]:
     return [x for w in text.lower().split() if (x := w if w.isalnum() else EDGES.sub(b"", w))]
 
 
-def _gram(words: tuple[bytes, ...]) -> int:
-    h = xxhash.xxh64_intdigest(b" ".join(words), 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def item_grams(items: DataFrame, n: int = N) -> DataFrame:
-    """(item_id, gram), distinct; an item of fewer than ``n`` words has none and can't leak."""
-
-    def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {"item_id": [], "gram": []}
-        for item, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-            w = words_of(text)
-            grams = {_gram(g) for g in zip(*(w[i:] for i in range(n)))}
-            out["item_id"] += [item] * len(grams)
-            out["gram"] += grams
-        yield out
-
-    return map_batches(items.select(F.col("item_id").cast("long"), "text"), run, "item_id long, gram long")
-
+def item_seeds(words: list[bytes], n: int = N) -> set[tuple[bytes, ...]]:
+    """Every n-gram of an item, however common its leaks have made it; a shorter item has none."""
+    return set(zip(*(words[i:] for i in range(n))))
 
-def document_counts(docs: DataFrame, grams: set[tuple[bytes, ...]], n: int = N) -> DataFrame:
-    """(gram, docs): in how many rows of ``docs`` each of the given n-grams stands."""
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(grams))
 
-    def run(batch: pa.RecordBatch):
-        seen: dict[tuple, int] = defaultdict(int)
-        for text in as_bytes(batch.column(0)):
-            w = words_of(text)
-            for g in wanted.value.intersection(zip(*(w[i:] for i in range(n)))):
-                seen[g] += 1
-        yield {"gram": [_gram(g) for g in seen], "docs": list(seen.values())}
-
-    return map_batches(docs.select("text"), run, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
-
-
-def seeds(grams: DataFrame, counts: DataFrame, rare: int = RARE) -> DataFrame:
-    """(item_id, gram): the rarer n-grams of each item, of those that stand in any document."""
-    counted = grams.join(counts, "gram")
-    middle = counted.groupBy("item_id").agg(F.percentile("docs", F.lit(0.5)).alias("middle"))
-    return counted.join(middle, "item_id").where((F.col("docs") <= F.col("middle")) | (F.col("docs") <= rare)).select("item_id", "gram")
+def passages(docs: DataFrame, texts: dict[int, list[bytes]], n: int = N) -> DataFrame:
+    """(doc_id, at, passage, items): passages with a seed, widened by the longest item on both sides.
 
-
-def passages(docs: DataFrame, wanted: set[tuple[bytes, ...]], longest: int, n: int = N) -> DataFrame:
-    """(doc_id, at, words, grams): passages with a seed, widened by the longest item on both sides."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(wanted))
+    ``items`` are those that share a seed and enough single words; an alignment can't match more words than are there.
+    """
+    longest = max(map(len, texts.values()), default=0)
+    holders: dict[tuple[bytes, ...], tuple[int, ...]] = {}
+    for item, w in texts.items():
+        for g in item_seeds(w, n):
+            holders[g] = (*holders.get(g, ()), item)
+    bags = {item: (COVER * len(w), list(Counter(w).items())) for item, w in texts.items()}
+    shared = docs.sparkSession.sparkContext.broadcast((holders, bags, sorted({len(g) for g in holders})))
 
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {"doc_id": [], "at": [], "passage": [], "grams": []}
+        known, bags, lengths = shared.value
+        out: dict[str, list] = {"doc_id": [], "at": [], "passage": [], "items": []}
         for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
             w = words_of(text)
-            rolled = list(zip(*(w[i:] for i in range(n))))
-            if shared.value.isdisjoint(rolled):
-                continue
             found = defaultdict(set)
-            for i, g in enumerate(rolled):
-                if g in shared.value:
-                    found[i // STRIDE].add(_gram(g))
-            for part, grams in found.items():
+            for size in lengths:
+                rolled = list(zip(*(w[i:] for i in range(size))))
+                if known.keys().isdisjoint(rolled):
+                    continue
+                for i, g in enumerate(rolled):
+                    if g in known:
+                        found[i // STRIDE].update(known[g])
+            for part, items in found.items():
                 start = max(0, part * STRIDE - longest)
-                out["doc_id"].append(doc)
-                out["at"].append(start)
-                out["passage"].append(b" ".join(w[start : (part + 1) * STRIDE + n + longest]).decode("utf-8", "replace"))
-                out["grams"].append(list(grams))
+                words = w[start : (part + 1) * STRIDE + n + longest]
+                there = Counter(words).get
+                items = [x for x in items if sum(min(c, there(v, 0)) for v, c in bags[x][1]) >= bags[x][0]]
+                if items:
+                    out["doc_id"].append(doc)
+                    out["at"].append(start)
+                    out["passage"].append(b" ".join(words).decode("utf-8", "replace"))
+                    out["items"].append(items)
         yield out
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, at long, passage string, grams array<long>")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, at long, passage string, items array<long>")
 
 
 def align(passage: list[str], item: list[str]) -> tuple[int, int, int, int]:
@@ -145,15 +119,8 @@ def align(passage: list[str], item: list[str]) -> tuple[int, int, int, int]:
 def _block(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).collect()
     texts = {r.item_id: words_of(bytes(r.text)) for r in rows}
-    grams = {g for w in texts.values() for g in zip(*(w[i:] for i in range(n)))}
-    longest = max(map(len, texts.values()), default=0)
-    table = materialize(item_grams(items, n))
-    chosen = materialize(seeds(table, document_counts(docs, grams, n)))
-    named = {_gram(g): g for g in grams}
-    rare = {named[r.gram] for r in chosen.select("gram").distinct().toLocalIterator()}
-    found = materialize(passages(docs, rare, longest, n))
-    hits = found.select("doc_id", "at", "passage", F.explode("grams").alias("gram")).join(chosen, "gram")
-    pairs = hits.select(F.md5("passage").alias("of"), "item_id").distinct()
+    found = materialize(passages(docs, texts, n))
+    pairs = found.select(F.md5("passage").alias("of"), F.explode("items").alias("item_id")).distinct()
     unique = found.select(F.md5("passage").alias("of"), "passage").groupBy("of").agg(F.first("passage").alias("passage"))
     known = docs.sparkSession.sparkContext.broadcast({k: [x.decode("utf-8", "replace") for x in w] for k, w in texts.items()})
 
@@ -179,9 +146,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int = BLOCK_
     """(doc_id, item_id, score, cover, first_word, last_word): test items found in training documents, best place each.
 
     ``score`` is the alignment's share of a perfect copy's, ``cover`` the share of the item's words that match; words
-    count from 0. Null and empty texts on either side match nothing, nor do items of fewer than ``n`` words. Repeated
-    rows of ``docs`` add nothing; rows without doc_id are reported under null. Without items or documents there are no
-    rows. Items must have distinct ids; other columns are ignored.
+    count from 0. Null and empty texts on either side match nothing; so do items of fewer than ``n``
+    words. Repeated rows of ``docs`` add nothing; rows without doc_id are reported under
+    null. Without items or documents there are no rows. Items must have distinct ids; other columns are ignored.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").groupBy("item_id").agg(F.min("text").alias("text"))
     total = items.count()
