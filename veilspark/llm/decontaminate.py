@@ -40,8 +40,8 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def item_seeds(words: list[bytes], n: int = N) -> set[tuple[bytes, ...]]:
-    """Every n-gram of an item, however common its leaks have made it; a shorter item has none."""
-    return set(zip(*(words[i:] for i in range(n))))
+    """Every n-gram of an item, however common its leaks have made it; a shorter item's whole word sequence."""
+    return set(zip(*(words[i:] for i in range(n)))) if len(words) >= n else {tuple(words)} - {()}
 
 
 def passages(docs: DataFrame, texts: dict[int, list[bytes]], n: int = N) -> DataFrame:
@@ -146,8 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int = BLOCK_
     """(doc_id, item_id, score, cover, first_word, last_word): test items found in training documents, best place each.
 
     ``score`` is the alignment's share of a perfect copy's, ``cover`` the share of the item's words that match; words
-    count from 0. Null and empty texts on either side match nothing; so do items of fewer than ``n``
-    words. Repeated rows of ``docs`` add nothing; rows without doc_id are reported under
+    count from 0. Null and empty texts on either side match nothing; items of fewer than ``n`` words match
+    where their whole word sequence stands. Repeated rows of ``docs`` add nothing; rows without doc_id are reported under
     null. Without items or documents there are no rows. Items must have distinct ids; other columns are ignored.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").groupBy("item_id").agg(F.min("text").alias("text"))
