@@ -32,12 +32,17 @@ CUT = frozenset(
     "textarea input dialog menu title xmp noembed noframes".split()
 )
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-#: Names in class or id that mark a part as something else than the article.
+NAME = (
+    r"(?:ads?|advert[a-z]*|sponsor[a-z]*|promo[a-z]*|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscri[a-z]+|"
+    r"sidebar|side-bar|related|recommend[a-z]*|share|sharing|social|comments?|disqus|replies|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|footer|header|masthead|login|signup|search|pagination|pager|toolbar|widget|skip-link)"
+)
+#: Whole classes and ids that mark a part as something else than the article: such names, with words of place and shape.
 CUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|popup|modal|newsletter|subscri\w+|"
-    r"sidebar|side-bar|related|recommend\w*|share|sharing|social|comments?|disqus|replies|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|footer|header|masthead|login|signup|search|pagination|pager|toolbar|widget|skip-link)(?:$|[\s_-])", re.I
+    rf"(?:(?:site|page|global|main|top|left|right|bottom)[_-])*{NAME}(?:[_-]{NAME})*"
+    r"(?:[_-](?:bar|box|list|links?|buttons?|posts?|articles?|items?|form|wrap|wrapper|container|section|area|block|left|right|top|bottom|\d+))*", re.I
 )
+HEADER_NAMES = re.compile(r"(?:page[_-])?(?:header|masthead)", re.I)
 #: A start tag on the left ends an open element on the right, up to the element that holds both.
 ENDS = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -47,27 +52,27 @@ HOLDS = frozenset("ul ol dl table select html body td th article section div".sp
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 SPACE = re.compile(r"\s+")
-#: A list of links inside the article: more than this share of its characters, and so many links.
-LINKED, LINKS = 0.8, 3
 #: An ancestor belongs to the article if its density is at least this share of the core's.
 NEAR = 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "cut", "main", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
+    __slots__ = ("tag", "parent", "inside", "cut", "main", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.inside = tag, parent, []
         named = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(attrs)} if attrs.strip() else {}
         role = named.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article")
-        names = f"{named.get('class', '')} {named.get('id', '')}"
-        self.cut = tag in CUT or role in CUT_ROLES or "hidden" in named or (tag not in ("html", "body") and bool(CUT_NAMES.search(names)))
-        if tag == "header":  # of the page, not of an article
+        names = [x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if CUT_NAMES.fullmatch(x)]
+        self.cut = tag in CUT or role in CUT_ROLES or "hidden" in named
+        self.named = bool(names) and tag not in ("html", "body")
+        if tag == "header" or self.named and all(map(HEADER_NAMES.fullmatch, names)):  # of the page, not of an article
             up = parent
             while up is not None and not up.main:
                 up = up.parent
-            self.cut = up is None
+            self.cut = up is None if tag == "header" else self.cut
+            self.named = self.named and up is None
 
 
 def parse(source: str) -> Node:
@@ -157,8 +162,36 @@ def measure(root: Node) -> list[Node]:
     return nodes
 
 
+def cut_named(root: Node) -> None:
+    """Cuts the named parts off, unless they hold the page's article.
+
+    If the page marks an article or main part outside of them, it is trusted. Otherwise parts stay that are or hold such
+    an element, the core, or most of the page's characters outside links.
+    """
+    nodes = _walk(root)
+    if not any(n.named for n in nodes):
+        return
+    measure(root)
+    inside: dict[int, bool] = {}
+    for n in nodes:
+        inside[id(n)] = n.named or n.parent is not None and inside[id(n.parent)]
+    keep = set()
+    if not any(n.main and n.chars > n.link_chars and not inside[id(n)] for n in nodes):
+        most = max((n.chars - n.link_chars for n in nodes if n.parent is None), default=0) / 2
+        held = [n for n in nodes if n.main and n.chars > n.link_chars]
+        core = max((n for n in nodes if n.blocks), key=lambda n: n.total, default=None)
+        for n in (*held, *([core] if core is not None else [])):
+            while n is not None:
+                keep.add(id(n))
+                n = n.parent
+        keep.update(id(n) for n in nodes if n.chars - n.link_chars > most)
+    for n in nodes:
+        n.cut = n.cut or n.named and id(n) not in keep
+
+
 def choose(root: Node) -> Node:
     """The root of the article."""
+    cut_named(root)
     nodes = measure(root)
     core = max((n for n in nodes if n.blocks), key=lambda n: n.total, default=root)
     path, n = [], core
@@ -191,7 +224,7 @@ def article_text(source: str | None) -> str:
             blocks[-1].append(x)
         elif x.tag == "br":
             blocks[-1].append(" ")
-        elif not x.cut and not (x is not top and x.tag in BLOCK and x.link_tags >= LINKS and x.link_chars > LINKED * x.chars):
+        elif not x.cut:
             inside = x.inside[::-1]
             todo += [None, *inside, None] if x.tag in BLOCK else inside
             if x.tag in BLOCK:
