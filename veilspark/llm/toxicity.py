@@ -2,7 +2,8 @@
 
 Words, with marked ends, are compared by their common subsequences of ``ORDER`` symbols spread over at most ``SPAN``
 places, each weighted by ``DECAY`` to the power of its spread: inserted characters (``id-iot``) and gaps leave most of
-them in place. Runs of single characters (``i d i o t``) are read as one word. The landmarks are words of labelled
+them in place. Runs of single characters (``i d i o t``) are read as one word, and words with separators (``i-d-i-o-t``)
+also without them. The landmarks are words of labelled
 sentences; the Nyström factor of their own kernel matrix turns a word's similarities into features of a linear machine,
 and a text is as toxic as its worst words.
 
@@ -42,6 +43,8 @@ CLEAN = 10.0
 #: Words a worker remembers before it starts afresh.
 REMEMBER = 400_000
 THRESHOLD = 0.7
+#: Inside a word, what isn't a letter or digit.
+SEPARATORS = re.compile(r"[\W_]+")
 SINGLES = re.compile(r"(?<!\S)(?:\S[ \t]+){2,}\S(?!\S)")
 #: Offsets of the later symbols of a subsequence.
 STEPS = np.array(list(itertools.combinations(range(1, SPAN), ORDER - 1)))
@@ -49,11 +52,13 @@ WEIGHTS = DECAY ** (STEPS[:, -1] + 1.0)
 
 
 def words_of(text: bytes) -> set[str]:
-    """Distinct lower-case words, stripped of what isn't a letter or digit at their ends."""
+    """Distinct lower-case words, stripped of what isn't a letter or digit at their ends, also without separators."""
     s = text.decode("utf-8", "replace").lower()
     found = set(s.split())
     found.update("".join(m.group().split()) for m in SINGLES.finditer(s))
-    return {w.strip(".,;:!?\"'()[]|%*&$#") for w in found} - {""}
+    found = {w.strip(".,;:!?\"'()[]|%*&$#") for w in found}
+    found.update([SEPARATORS.sub("", w) for w in found if not w.isalnum()])
+    return found - {""}
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
