@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,6 +33,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROW = "__row"
+
+
+def keyed(df: DataFrame) -> DataFrame:
+    """``df`` with a number in ``ROW`` that names each row, written so that every later use sees the same numbers.
+
+    Stages choose rows by it: doc_id may be null, and rows may be repeated.
+    """
+    return materialize(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:
     """``mapInArrow`` for functions that turn one batch into dicts of columns; strings arrive as bytes.
 

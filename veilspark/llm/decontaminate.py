@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize
+from veilspark.llm.common import ROW, as_bytes, keyed, map_batches, materialize
 
 N = 3
 #: Items of one block; their n-grams are sent to the executors.
@@ -160,8 +160,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, block: int = BLOCK_
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leaked test item, with all their columns."""
-    bad = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("__leak_id")).distinct())
-    return docs.join(bad, docs["doc_id"] == bad["__leak_id"], "left_anti")
+    rows = keyed(docs)
+    bad = materialize(leaks(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(ROW)).distinct())
+    return rows.join(bad, ROW, "left_anti").select(docs.columns)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import materialize, shared_dir
+from veilspark.llm.common import ROW, keyed, materialize, shared_dir
 
 #: ASCII white space, deleted before texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -22,12 +22,13 @@ def normalized(text: str = "text"):
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, chars): SHA-256 of the normalised text and the original's code points."""
+def digests(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, digest, chars) and other columns: SHA-256 of the normalised text and the original's code points."""
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(normalized().cast("binary"), 256)).alias("digest"),
         F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("chars"),
+        *others,
     )
 
 
@@ -94,9 +95,18 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    ids = dedup(docs, index).where("kept").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__kept_id"]), "left_semi")
+    """One row of ``docs`` for each text that the index doesn't hold, with all columns.
+
+    The choice is that of ``dedup``; of repeated rows, and of rows without doc_id where no other has the text, one stays.
+    """
+    index = index or DigestIndex(docs.sparkSession)
+    rows = keyed(docs)
+    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("negative_id"), (-F.col(ROW)).alias("negative_row")))
+    groups = digests(rows, ROW).groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
+    groups = materialize(groups.select("digest", (-F.col("best.negative_id")).alias("keep_id"), "group_size", (-F.col("best.negative_row")).alias(ROW)))
+    fresh = materialize(index.unseen(groups))
+    index.append(fresh)
+    return rows.join(fresh.select(ROW), ROW, "left_semi").select(docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

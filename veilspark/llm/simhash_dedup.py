@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize
+from veilspark.llm.common import ROW, as_bytes, keyed, map_batches, materialize
 from veilspark.llm.components import connected_components
 
 SHINGLE = 3
@@ -85,9 +85,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component: one document of each group, all columns."""
-    ids = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id"))
-    return docs.join(ids, docs["doc_id"] == ids["__kept_id"], "left_semi")
+    """One row of ``docs`` for each group, with all columns: the one with the smallest doc_id, if any has one."""
+    rows = keyed(docs)
+    groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).join(groups, ROW)
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"))
+    kept = materialize(best.select(f"best.{ROW}"))
+    return rows.join(kept, ROW, "left_semi").select(docs.columns)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
