@@ -189,6 +189,12 @@ def _(s, d):
     return plain.select("doc_id", F.md5(tn.normalized(F.col("text"))).alias("norm_md5"))
 
 
+@query("normalize_text_all")
+def _(s, d):
+    """All documents, also those that the oracle of ``normalize_text`` leaves out; tested against plain Python."""
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(tn.normalized(F.col("text"))).alias("norm_md5"))
+
+
 @query("normalize_exact_agrees", "SELECT lang, count(*) AS n, 0::BIGINT AS differing FROM documents GROUP BY lang")
 def _(s, d):
     """The built-in normalisation against the exact one, on whole documents in all languages."""
