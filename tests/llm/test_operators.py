@@ -197,9 +197,10 @@ def test_bpe(spark, ranks):
 
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks={p: i for i, p in enumerate(ranks.pieces)}, special_tokens={})
-    texts = ["aab aaab  ba'll é½\x1c\n\n x", "a" * 200 + "b" * 3, "", None, "日本 𝒜𝒷 1２", "abab" * 15]
-    docs = table(spark, list(enumerate(texts)))
-    for most in (3, 100_000):
+    texts = ["aab aaab  ba'll é½\x1c\n\n x", "a" * 200 + "b" * 3, "ba" * 300, "", None, "日本 𝒜𝒷 1２", "abab" * 15]
+    docs = table(spark, list(enumerate(texts)) * 2)  # words of several rows get into the dictionary
+    assert [len(bpe.dictionary(docs, bpe.load_ranks(ranks.path), pattern, most)) > 0 for most in (0, 100_000)] == [False, True]
+    for most in (0, 100_000):
         encoded = bpe.encode(docs, ranks.path, pattern, most)
         assert {r.doc_id: r.ids for r in encoded.collect()} == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
         back = bpe.decode(encoded, bpe.load_ranks(ranks.path)).collect()

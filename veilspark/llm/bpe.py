@@ -3,12 +3,13 @@
 The ranked merges are a fold of Spark's higher-order functions over the byte arrays of distinct words, with the rank map
 as a literal: pairs of ids in short lists, addressed by a hash of the pair, so that a look-up costs a few comparisons.
 
-1. Texts are cut by the vocabulary's pattern and all words of the corpus are counted (partial sums before the shuffle).
-2. The most frequent words, at most ``DICTIONARY_WORDS`` of them (a histogram of counts finds the limit), are folded
+1. Texts are cut by the vocabulary's pattern, and for every distinct word of the corpus the documents that hold it are
+   counted (partial sums before the shuffle).
+2. The words of most documents, at most ``DICTIONARY_WORDS`` of them (a histogram of counts finds the limit), are folded
    once each; this bounded dictionary and the rank file's own words are sent to the executors.
 3. Texts are cut again. Known words become ids at once; the few others travel beside the document as a list of distinct
    words, are folded there by the same expression, and fill their places. Nothing is shuffled by document, and the
-   result doesn't depend on which words the dictionary holds.
+   result doesn't depend on which words the dictionary holds. A word of one document is folded once in any case.
 
 Decoding concatenates the binary pieces of the ids: one gather from the table of pieces, document by document.
 """
@@ -16,7 +17,6 @@ Decoding concatenates the binary pieces of the ids: one gather from the table of
 from __future__ import annotations
 
 import base64
-import heapq
 import json
 import math
 import re
@@ -32,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import map_batches, materialize
+from veilspark.llm.common import as_bytes, map_batches, materialize
 
-#: Bound of the dictionary that is sent to the executors, in words of at most ``LONG`` bytes.
+#: Bounds of the dictionary that is sent to the executors: words, and the bytes of a word in it.
 DICTIONARY_WORDS = 1 << 19
-#: Longer pieces (runs of one letter, unbroken junk) are merged with a heap where they occur.
-LONG = 64
+DICTIONARY_BYTES = 64
 SLOTS = 65_521
+#: A pair of ids is one number: the left id in front of so many bits.
+SHIFT = 31
 #: Counts leave a task in portions of so many distinct words.
 FLUSH = 400_000
 
@@ -103,7 +104,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 def pair_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<bigint,bigint>>: the id of every pair that merges by left id * 65536 + right id, in slots.
+    """array<map<bigint,bigint>>: the id of every pair that merges, by both ids as one number, in slots.
 
     The JSON text is constant and is folded into one literal when the plan is made.
     """
@@ -112,13 +113,18 @@ def pair_literal(ranks: dict[bytes, int]) -> Column:
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
-                key = left * 65536 + right
+                key = left << SHIFT | right
                 slots[key % SLOTS][key] = rank
     return F.from_json(F.lit(json.dumps(slots)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def fold_word(word: Column, ranks: dict[bytes, int], pairs: Column) -> Column:
-    """Ids of one word (array of its bytes): ranked merges as a fold over the array.
+    """Ids of one word (array of its bytes): ranked merges as a fold over the array, for words of any length.
 
     Each step ranks the adjacent pairs, finds the smallest, the leftmost of equals, and merges it; a word without such
     a pair is left as it is by the remaining steps. Words that are in the rank file themselves are not for this fold.
@@ -126,63 +132,46 @@ def fold_word(word: Column, ranks: dict[bytes, int], pairs: Column) -> Column:
     single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
     def rank(left: Column, right: Column) -> Column:
-        key = left * 65536 + right
+        key = F.shiftleft(left, SHIFT).bitwiseOR(right)
         return F.try_element_at(F.get(pairs, (key % SLOTS).cast("int")), key)
 
     def merge(parts: Column, ranked: Column, at: Column) -> Column:
-        both = F.array(F.get(ranked, at - 1))
-        return F.when(at.isNull(), parts).otherwise(F.concat(F.slice(parts, F.lit(1), at - 1), both, F.slice(parts, at + 2, F.lit(LONG))))
+        joined = F.transform(parts, lambda x, i: F.when(i == at - 1, F.get(ranked, i)).otherwise(x))
+        return F.filter(joined, lambda _, i: i != at)
 
     def step(parts: Column, _: Column) -> Column:
-        ranked = F.zip_with(parts, F.slice(parts, F.lit(2), F.lit(LONG)), rank)
-        # One-element arrays name the ranks and the place of the smallest, so that each is worked out once.
-        place = lambda r: F.array(F.array_position(r, F.array_min(r)).cast("int"))
-        return F.get(F.get(F.transform(F.array(ranked), lambda r: F.transform(place(r), lambda at: merge(parts, r, at))), F.lit(0)), F.lit(0))
-
-    return F.aggregate(F.slice(word, F.lit(2), F.lit(LONG)), F.transform(word, lambda b: F.get(single, b.cast("int"))), step)
-
-
-def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same merges with a heap and linked neighbours, for long pieces."""
-    if word in ranks:
-        return [ranks[word]]
-    parts: list[bytes | None] = [word[i : i + 1] for i in range(len(word))]
-    left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
-    heap = [(r, i, 2) for i in range(len(parts) - 1) if (r := ranks.get(word[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, n = heapq.heappop(heap)
-        j = right[i] if parts[i] is not None else len(parts)
-        if j >= len(parts) or len(parts[i]) + len(parts[j]) != n:
-            continue
-        parts[i], parts[j] = parts[i] + parts[j], None
-        right[i] = right[j]
-        if right[i] < len(parts):
-            left[right[i]] = i
-        for a, b in ((left[i], i), (i, right[i])):
-            if a >= 0 and b < len(parts) and (r := ranks.get(parts[a] + parts[b])) is not None:
-                heapq.heappush(heap, (r, a, len(parts[a]) + len(parts[b])))
-    return [ranks[p] for p in parts if p is not None]
+        ranked = F.transform(parts, lambda x, i: rank(x, F.get(parts, i + 1)))
+        place = lambda r: F.array_position(r, F.array_min(r)).cast("int")
+        return _let(ranked, lambda r: _let(place(r), lambda at: F.when(at.isNull(), parts).otherwise(merge(parts, r, at))))
+
+    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), F.transform(word, lambda b: F.get(single, b.cast("int"))), step)
+
+
+def file_words(ranks: dict[bytes, int]) -> dict[str, int]:
+    """Entries of the rank file that are text, with their ids."""
+    out = {}
+    for piece, rank in ranks.items():
+        try:
+            out[piece.decode()] = rank
+        except UnicodeDecodeError:  # part of a character: never a word
+            pass
+    return out
 
 
 def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """(word, n): how often each piece of at most ``LONG`` bytes that is no entry of the rank file occurs in all texts."""
+    """(word, n): in how many texts each word stands, of all words that are no entry of the rank file."""
 
     def run(batch: pa.RecordBatch):
-        cut, seen = splitter(pattern).findall, Counter()
+        cut, own, seen = splitter(pattern).findall, shared.value, Counter()
         for text in batch.column(0).to_pylist():
-            seen.update(cut(text))
+            seen.update(set(cut(text)) - own)
             if len(seen) > FLUSH:
-                yield _portion(seen)
+                yield {"word": list(seen), "n": list(seen.values())}
                 seen = Counter()
-        yield _portion(seen)
+        yield {"word": list(seen), "n": list(seen.values())}
 
-    def _portion(seen: Counter) -> dict:
-        words = [(w, n) for s, n in seen.items() if len(w := s.encode()) <= LONG and w not in own.value]
-        return {"word": _listed([w for w, _ in words]), "n": [n for _, n in words]}
-
-    own = docs.sparkSession.sparkContext.broadcast(ranks)
-    counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word array<smallint>, n long")
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(file_words(ranks)))
+    counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -191,11 +180,11 @@ def _band(n: Column) -> Column:
 
 
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> list[tuple[bytes, ...]]:
-    """The most frequent words, at most ``most``, with their ids packed as 32-bit integers.
+    """The words of most texts, at most ``most``, with their ids packed as 32-bit integers.
 
     They come in blocks of (words, their ends, ids, their ends), a few flat buffers instead of an object for each word.
     """
-    counts = materialize(word_counts(docs, ranks, pattern))
+    counts = materialize(word_counts(docs, ranks, pattern).where((F.col("n") > 1) & (F.octet_length("word") <= DICTIONARY_BYTES)))
     bands = counts.groupBy(_band(F.col("n")).alias("band")).count().orderBy(F.desc("band")).collect()  # under 256 rows
     total, least = 0, math.inf
     for band, n in bands:
@@ -204,7 +193,10 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
         least = band
     if least == math.inf:
         return []
-    known = counts.where(_band(F.col("n")) >= least).select("word")
+    spelt = lambda b: iter([{"word": _listed([w or b"" for w in as_bytes(b.column(0))])}])
+    # The few files of counts are dealt anew, as folding is the work.
+    chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    known = map_batches(chosen, spelt, "word array<smallint>")
     folded = known.select("word", fold_word(F.col("word"), ranks, pair_literal(ranks)).cast("array<int>").alias("ids"))
     block = lambda b: iter([{name: [buffer] for name, buffer in zip(BLOCK, (*_flat(b.column(0)), *_flat(b.column(1), "<i4")))}])
     packed = map_batches(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
@@ -240,27 +232,20 @@ def _listed(words: list[bytes]) -> pa.Array:
 GAP = struct.pack("<i", -1)
 
 
-class _Words(dict):
-    """Packed ids by word. For unknown words it returns ``GAP`` and notes them as the document's own."""
-
-    def __init__(self, known: list[tuple[bytes, ...]], ranks: dict[bytes, int]):
-        super().__init__(_unpacked(known))
-        self.ranks = ranks
+class _Words:
+    """Packed ids by word, and what a document's unknown words leave open."""
 
-    def start(self) -> None:
-        self.own: dict[str, int] = {}
-        self.gaps: list[int] = []
+    def __init__(self, known: list[tuple[bytes, ...]], words: dict[str, int]):
+        self.known = _unpacked(known) | {w: struct.pack("<i", rank) for w, rank in words.items()}
 
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        if (rank := self.ranks.get(raw)) is not None:
-            self[word] = packed = struct.pack("<i", rank)
-            return packed
-        if len(raw) > LONG:
-            ids = merge_long(raw, self.ranks)
-            return struct.pack(f"<{len(ids)}i", *ids)
-        self.gaps.append(self.own.setdefault(word, len(self.own)))
-        return GAP
+    def place(self, pieces: list[str]) -> tuple[bytes, list[int], list[list[int]]]:
+        """Packed ids with ``GAP`` for unknown words, the words in those gaps by number, and their bytes."""
+        distinct, known = set(pieces), self.known
+        local = {w: known.get(w, GAP) for w in distinct}  # small, so that the look-ups of all pieces are quick
+        packed = b"".join(map(local.__getitem__, pieces))
+        own = {w: i for i, w in enumerate(w for w, ids in local.items() if ids is GAP)}
+        gaps = [own[w] for w in pieces if w in own] if own else []
+        return packed, gaps, [list(w.encode()) for w in own]
 
 
 def _runs(texts: list[bytes]) -> pa.Array:
@@ -285,16 +270,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
     """
     spark, ranks = docs.sparkSession, load_ranks(rank_path)
     known = spark.sparkContext.broadcast(dictionary(docs, ranks, pattern, most))
-    shared = spark.sparkContext.broadcast(ranks)
+    shared = spark.sparkContext.broadcast(file_words(ranks))
 
     def run(batch: pa.RecordBatch):
         cut, ids = splitter(pattern).findall, _worker_words(known, shared)
-        texts, gaps, rare = [], [], []
-        for text in batch.column(1).to_pylist():
-            ids.start()
-            texts.append(b"".join([ids[w] for w in cut(text)]))
-            gaps.append(ids.gaps)
-            rare.append([list(w.encode()) for w in ids.own])
+        texts, gaps, rare = zip(*[ids.place(cut(text)) for text in batch.column(1).to_pylist()]) if batch.num_rows else ((), (), ())
         yield {"doc_id": batch.column(0), "runs": _runs(texts), "gaps": gaps, "rare": rare}
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -310,12 +290,12 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
 _CACHE: dict[int, _Words] = {}
 
 
-def _worker_words(known, ranks) -> _Words:
+def _worker_words(known, words) -> _Words:
     """The dictionary of a Python worker, built once and replaced when another broadcast arrives."""
     key = id(known.value)
     if key not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = _Words(known.value, ranks.value)
+        _CACHE[key] = _Words(known.value, words.value)
     return _CACHE[key]
 
 
