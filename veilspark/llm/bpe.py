@@ -244,7 +244,7 @@ class _Words:
         local = {w: known.get(w, GAP) for w in distinct}  # small, so that the look-ups of all pieces are quick
         packed = b"".join(map(local.__getitem__, pieces))
         own = {w: i for i, w in enumerate(w for w, ids in local.items() if ids is GAP)}
-        gaps = [own[w] for w in pieces if w in own] if own else []
+        gaps = list(map(own.__getitem__, filter(own.__contains__, pieces))) if own else []
         return packed, gaps, [list(w.encode()) for w in own]
 
 

@@ -15,25 +15,23 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
-import sys
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches
+from veilspark.llm.common import as_bytes, map_batches, materialize
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: Hashed space of the subsequences.
 DIMS = 1 << 16
 LANDMARKS = 256
-#: Bounds of the fit: labelled documents, and distinct words of each class.
-MAX_TRAIN = 6000
-FIT_WORDS = 20_000
+#: Bound of the fit, in labelled documents; their distinct words, half a KB each in the driver, take part without exception.
+MAX_TRAIN = 3000
 #: Words of a toxic text that stand for it after the first round.
 WITNESSES = 3
 #: Margin of a word that isn't there: a clean one's.
@@ -41,7 +39,9 @@ NO_WORD = -1.0
 #: Weight of clean words against witnesses.
 CLEAN = 10.0
 #: Words a worker remembers before it starts afresh.
-REMEMBER = 400_000
+REMEMBER = 100_000
+#: Rows that are worked on at a time where a copy is made.
+ROWS = 8192
 THRESHOLD = 0.7
 #: Inside a word, what isn't a letter or digit.
 SEPARATORS = re.compile(r"[\W_]+")
@@ -95,16 +95,19 @@ def _vectors(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def similarities(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Kernel of each word with each landmark, both of unit length."""
+    """Kernel of each word with each landmark, both of unit length: a product of two sparse matrices."""
     i, h, v = _vectors(landmarks)
-    table = np.zeros((DIMS, len(landmarks)), np.float32)
-    table[h, i] = v
-    out = np.zeros((len(words), len(landmarks)), np.float32)
-    for part, rows in _parts(words, symbols=1 << 12):  # a row of landmarks for each subsequence
+    order = np.argsort(h, kind="stable")
+    mark, value, n_marks = i[order], v[order], len(landmarks)
+    count = np.bincount(h, minlength=DIMS)
+    start = np.cumsum(count) - count
+    out = np.zeros((len(words), n_marks), np.float32)
+    for part, rows in _parts(words):
         i, h, v = _vectors(part)
-        starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-        if len(i):
-            out[np.array(rows)[i[starts]]] = np.add.reduceat(table[h] * v[:, None], starts, axis=0)
+        n = count[h]
+        at = np.arange(n.sum()) + np.repeat(start[h] - np.cumsum(n) + n, n)
+        cells = np.repeat(i, n) * n_marks + mark[at]
+        out[rows] = np.bincount(cells, np.repeat(v, n) * value[at], len(part) * n_marks).reshape(-1, n_marks)
     return out
 
 
@@ -165,7 +168,7 @@ def choose_landmarks(bad: dict[str, int], good: dict[str, int], n_bad: int, n_go
     """Words of labelled texts: those that tell most about toxic texts, the clean words most like them, and others."""
     told = sorted(((n / n_bad) / ((good.get(w, 0) + 1) / n_good), n, w) for w, n in bad.items() if n >= 3 and len(w) >= 3)[::-1]
     chosen = [w for r, _, w in told if r > 3][: most // 2]
-    clean = sorted((w for w, n in good.items() if n >= 2 and n / n_good >= bad.get(w, 0) / n_bad), key=lambda w: zlib.crc32(w.encode()))[:FIT_WORDS]
+    clean = sorted((w for w, n in good.items() if n >= 2 and n / n_good >= bad.get(w, 0) / n_bad), key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))
     like = []
     if chosen and clean:
         near = similarities(clean, chosen).max(axis=1)
@@ -174,76 +177,80 @@ def choose_landmarks(bad: dict[str, int], good: dict[str, int], n_bad: int, n_go
     return (chosen + like + rest[: most - len(chosen) - len(like)]) or ["toxic"]
 
 
-def _machine(z: np.ndarray, y: np.ndarray, cost: np.ndarray, c: float, steps: int = 12) -> tuple[np.ndarray, float]:
-    """Squared-hinge linear machine by Newton steps over its support vectors; ``cost`` weighs the rows."""
-    z = np.c_[z, np.ones(len(z), np.float32)]
-    w, before = np.zeros(z.shape[1]), None
+def _margins(z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    weights = w[:-1].astype(np.float32)
+    return np.concatenate([z[at : at + ROWS].astype(np.float32) @ weights for at in range(0, len(z), ROWS)]) + np.float32(w[-1])
+
+
+def _machine(z: np.ndarray, bad: np.ndarray, good: np.ndarray, c: float, steps: int = 12) -> tuple[np.ndarray, float]:
+    """Squared-hinge linear machine by Newton steps over its support vectors.
+
+    Each row of ``z`` may stand on both sides: ``bad`` is its cost as an example above, ``good`` as one below zero.
+    """
+    n = z.shape[1] + 1
+    w, before = np.zeros(n), None
     for _ in range(steps):
-        inside = (cost > 0) & (y * (z @ w.astype(np.float32)) < 1)
-        if before is not None and (inside == before).all():
+        margin = _margins(z, w)
+        inside = (bad > 0) & (margin < 1), (good > 0) & (margin > -1)
+        if before is not None and all((a == b).all() for a, b in zip(inside, before)):
             break
-        before, zs, cs = inside, z[inside], cost[inside].astype(np.float32)
-        a = (zs * cs[:, None]).T @ zs + c * np.diag(np.r_[np.ones(z.shape[1] - 1), 1e-3])
-        w = np.linalg.solve(a.astype(float), zs.T @ (cs * y[inside]).astype(np.float32))
+        before = inside
+        up, down = np.where(inside[0], bad, 0), np.where(inside[1], good, 0)
+        a, b, some = c * np.diag(np.r_[np.ones(n - 1), 1e-3]), np.zeros(n), np.flatnonzero(up + down)
+        for at in range(0, len(some), ROWS):
+            part = some[at : at + ROWS]
+            rows = np.c_[z[part].astype(np.float32), np.ones(len(part), np.float32)]
+            a += (rows * (up + down)[part, None].astype(np.float32)).T @ rows
+            b += rows.T @ (up - down)[part].astype(np.float32)
+        w = np.linalg.solve(a, b)
     return w[:-1], float(w[-1])
 
 
-def _fit_words(counts: dict[str, int], total: int) -> tuple[list[str], np.ndarray]:
-    """At most ``FIT_WORDS`` words and their weights: the frequent ones, and a sample that stands for the rest."""
-    order = sorted(counts, key=lambda w: (counts[w] < 3, zlib.crc32(w.encode()), w))
-    often = sum(n >= 3 for n in counts.values())
-    kept = order[:FIT_WORDS]
-    rest = max(1, len(kept) - often)
-    up = max(1.0, (len(order) - often) / rest)
-    return kept, np.array([counts[w] / total * (1.0 if counts[w] >= 3 else up) for w in kept])
+def fit(texts: list[bytes], labels: list[int], landmarks: int = LANDMARKS, c: float = 1e-5, rounds: int = 3) -> Model:
+    return fit_words([sorted(words_of(t)) for t in texts], labels, landmarks, c, rounds)
 
 
-def fit(texts: list[bytes], labels: list[int], landmarks: int = LANDMARKS, c: float = 1e-5, rounds: int = 3) -> Model:
+def fit_words(docs: Iterable[list[str]], labels: Iterable[int], landmarks: int = LANDMARKS, c: float = 1e-5, rounds: int = 3) -> Model:
     """Fits word margins so that a toxic text's best words are above and all words of clean texts below zero.
 
-    The first round takes every word of a toxic text for an example of its label; the next ones only the words that
-    score best in their text. A logistic curve turns a text's two largest margins into its score.
+    ``docs``: the distinct words of each text. The first round takes every word of a toxic text for an example of its
+    label; the next ones only the words that score best in their text. A logistic curve turns a text's two largest
+    margins into its score. Without texts of both labels every text gets one and the same score.
     """
-    y01, words = np.array(labels, int), [set(map(sys.intern, words_of(t))) for t in texts]
-    n_bad, n_good = int(y01.sum()), int(len(y01) - y01.sum())
-    if not n_bad or not n_good:
-        return Model(["toxic"], np.zeros(1), -1.0, np.array([0.0, 0.0, -4.0 if not n_bad else 4.0]))
-    bad, good = {}, {}
-    for some, y in zip(words, y01):
-        seen = bad if y else good
-        for w in some:
-            seen[w] = seen.get(w, 0) + 1
+    number: dict[str, int] = {}
+    rows = [np.array([number.setdefault(w, len(number)) for w in words], np.int32) for words in docs]  # 4 bytes a word
+    y = np.array(list(labels), int)
+    n_bad, n_good = int(y.sum()), int(len(y) - y.sum())
+    if not n_bad or not n_good or not number:
+        return Model(["toxic"], np.zeros(1), -1.0, np.array([0.0, 0.0, -4.0 if not n_bad else 4.0 if not n_good else 0.0]))
+    words, size = list(number), len(number)
+    n_in = [sum((np.bincount(r, minlength=size) for r, label in zip(rows, y) if label == k), np.zeros(size, int)) for k in (1, 0)]
+    bad, good = ({w: int(n) for w, n in zip(words, counts) if n} for counts in n_in)
     marks = choose_landmarks(bad, good, n_bad, n_good, landmarks)
-    (pos, weight_pos), (neg, weight_neg) = _fit_words(bad, n_bad), _fit_words(good, n_good)
-    both = pos + neg
-    k = similarities(both, marks)
     own = similarities(marks, marks)
     values, vectors = np.linalg.eigh((own + own.T) / 2)
-    factor = vectors * np.maximum(values, 1e-2) ** -0.5
-    z = (k @ factor).astype(np.float32)
-    y = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
+    factor = (vectors * np.maximum(values, 1e-2) ** -0.5).astype(np.float32)
+    z = np.concatenate([(similarities(words[at : at + ROWS], marks) @ factor).astype(np.float16) for at in range(0, size, ROWS)])
+    above, below = n_in[0] / n_bad, n_in[1] / n_good
     for r in range(rounds):
-        cost = np.r_[weight_pos / weight_pos.sum(), weight_neg / weight_neg.sum() * (CLEAN if r else 1)]
-        w, b = _machine(z, y, cost, c)
-        scorer = Scorer(marks, factor @ w, b)
+        w, b = _machine(z, above / above.sum(), below / below.sum() * (CLEAN if r else 1), c)
+        margins = _margins(z, np.r_[w, b])
         if r + 1 < rounds:  # witnesses of toxic texts
-            best: dict[str, float] = {}
-            for some, label in zip(words, y01):
+            above = np.zeros(size)
+            for row, label in zip(rows, y):
                 if label:
-                    scorer.top([some])
-                    for x in heapq.nlargest(WITNESSES, some, key=scorer.known.__getitem__):
-                        best[x] = best.get(x, 0) + 1.0
-            weight_pos = np.array([best.get(x, 0.0) for x in pos])
-            if not weight_pos.sum():
+                    above[row[np.argsort(-margins[row], kind="stable")[:WITNESSES]]] += 1
+            if not above.sum():
                 break
-    top = np.c_[np.concatenate([scorer.top(words[i : i + 256]) for i in range(0, len(words), 256)]), np.ones(len(words))]
+    best = [np.sort(np.r_[margins[row], NO_WORD, NO_WORD])[-2:][::-1] if len(row) < 2 else np.sort(margins[row])[-2:][::-1] for row in rows]
+    top = np.c_[np.array(best), np.ones(len(rows))]
     scale = np.abs(top[:, :2]).mean() + 1e-9
     x, curve = top / np.array([scale, scale, 1]), np.zeros(3)
     for _ in range(100):  # Newton steps of a logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
         h = x.T @ (x * (p * (1 - p))[:, None]) / len(x) + 1e-4 * np.eye(3)
-        curve = curve + np.linalg.solve(h, x.T @ (y01 - p) / len(x) - 1e-4 * curve)
-    return Model(marks, factor @ w, b, curve / np.array([scale, scale, 1]))
+        curve = curve + np.linalg.solve(h, x.T @ (y - p) / len(x) - 1e-4 * curve)
+    return Model(marks, factor.astype(float) @ w, b, curve / np.array([scale, scale, 1]))
 
 
 def held_out(doc_id):
@@ -251,38 +258,45 @@ def held_out(doc_id):
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
-    """Fits on at most ``most`` labelled documents outside the held-out third, taken in the order of a hash of doc_id."""
+    """Fits on at most ``most`` labelled documents outside the held-out third, taken in the order of a hash of doc_id.
+
+    Texts are reduced to their distinct words where they are read; only those reach the driver. Labels that are null or
+    without doc_id don't count; of several labels of one document the largest does.
+    """
     ids = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("label_id"), F.col("toxic").cast("int").alias("toxic"))
     ids = ids.where(~held_out(F.col("label_id"))).groupBy("label_id").agg(F.max("toxic").alias("toxic"))
     sample = ids.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
-    got = rows.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), "toxic").toLocalIterator(prefetchPartitions=True)
-    texts, ys = [], []
-    for r in got:
-        texts.append(bytes(r.text))
-        ys.append(r.toxic)
-    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(texts[i]), texts[i], ys[i]))  # the same fit in any order
-    return fit([texts[i] for i in order], [ys[i] for i in order])
+
+    def run(batch: pa.RecordBatch):
+        words = [" ".join(sorted(words_of(t))).encode("utf-8", "replace") for t in as_bytes(batch.column(0))]
+        yield {"words": words, "toxic": batch.column(1)}
+
+    # Written first, so that all executors take part; the driver then reads the files one after the other.
+    got = materialize(map_batches(rows.select("text", "toxic"), run, "words binary, toxic int")).toLocalIterator()
+    packed = sorted((zlib.crc32(r.words), bytes(r.words), r.toxic) for r in got)  # the same fit in any order
+    return fit_words((w.decode().split() for _, w, _ in packed), [y for _, _, y in packed])
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
-def _scores(model: Model, texts: list[bytes]) -> list[float]:
-    """Scores of texts in a Python worker, which keeps its model's words from batch to batch."""
+def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
+    """Scores of texts in a Python worker, which keeps some words of its model from batch to batch."""
     if id(model) not in _SCORERS:
         _SCORERS.clear()
         _SCORERS[id(model)] = model.scorer()
-    scorer, out = _SCORERS[id(model)], []
+    scorer, out = _SCORERS[id(model)], [np.zeros(0)]
     for at in range(0, len(texts), 256):
-        out += model.scores(scorer.top([words_of(t) for t in texts[at : at + 256]])).tolist()
-    return out
+        out.append(model.scores(scorer.top([words_of(t) for t in texts[at : at + 256]])))
+    return np.concatenate(out)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of ``docs``: probability that the text is toxic, from the whole text alone.
 
-    Null and empty texts have no words and get the score of clean words. An empty table gives no rows.
+    Null and empty texts have no words and get the score of clean words; repeated rows get equal scores, whatever their
+    doc_ids. An empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -293,14 +307,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose score is below the threshold, with all their columns; texts are scored in place."""
+    """The rows of ``docs`` whose score is below the threshold, with all their columns.
+
+    Whole Arrow batches are scored and thinned out where they stand: nothing is shuffled, and no text is copied between
+    Spark and Python row by row. Null and empty texts are clean, repeated rows share one fate, rows without doc_id are
+    judged like others; without usable labels every row stays.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scores(shared.value, [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(shared.value, as_bytes(batch.column(at))) < THRESHOLD))
+        _SCORERS.clear()  # later stages find the worker's memory free
 
-    return docs.where(scored(F.coalesce("text", F.lit(""))) < THRESHOLD)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
