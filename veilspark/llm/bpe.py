@@ -29,6 +29,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,6 @@ DICTIONARY_BYTES = 64
 SLOTS = 65_521
 #: A pair of ids is one number: the left id in front of so many bits.
 SHIFT = 31
-#: Counts leave a task in portions of so many distinct words.
-FLUSH = 400_000
 
 
 class Splitter:
@@ -165,9 +164,6 @@ def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
         cut, own, seen = splitter(pattern).findall, shared.value, Counter()
         for text in batch.column(0).to_pylist():
             seen.update(set(cut(text)) - own)
-            if len(seen) > FLUSH:
-                yield {"word": list(seen), "n": list(seen.values())}
-                seen = Counter()
         yield {"word": list(seen), "n": list(seen.values())}
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(file_words(ranks)))
@@ -182,7 +178,7 @@ def _band(n: Column) -> Column:
 def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY_WORDS) -> list[tuple[bytes, ...]]:
     """The words of most texts, at most ``most``, with their ids packed as 32-bit integers.
 
-    They come in blocks of (words, their ends, ids, their ends), a few flat buffers instead of an object for each word.
+    They come in blocks of (hashes, words, their ends, ids, their ends), flat buffers instead of an object for each word.
     """
     counts = materialize(word_counts(docs, ranks, pattern).where((F.col("n") > 1) & (F.octet_length("word") <= DICTIONARY_BYTES)))
     bands = counts.groupBy(_band(F.col("n")).alias("band")).count().orderBy(F.desc("band")).collect()  # under 256 rows
@@ -198,22 +194,21 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
     chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     known = map_batches(chosen, spelt, "word array<smallint>")
     folded = known.select("word", fold_word(F.col("word"), ranks, pair_literal(ranks)).cast("array<int>").alias("ids"))
-    block = lambda b: iter([{name: [buffer] for name, buffer in zip(BLOCK, (*_flat(b.column(0)), *_flat(b.column(1), "<i4")))}])
+
+    def block(batch: pa.RecordBatch):
+        words, ends = _flat(batch.column(0))
+        hashes = [xxhash.xxh64_intdigest(words[a:b]) for a, b in _ranges(np.frombuffer(ends, "<i4"))]
+        yield {name: [buffer] for name, buffer in zip(BLOCK, (np.array(hashes, "<u8").tobytes(), words, ends, *_flat(batch.column(1), "<i4")))}
+
     packed = map_batches(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
     return [tuple(map(bytes, row)) for row in materialize(packed).collect()]
 
 
-def _unpacked(blocks: list[tuple[bytes, ...]]) -> dict[str, bytes]:
-    out = {}
-    for words, word_ends, ids, id_ends in blocks:
-        a = c = 0
-        for b, d in zip(np.frombuffer(word_ends, "<i4").tolist(), np.frombuffer(id_ends, "<i4").tolist()):
-            out[words[a:b].decode()] = ids[c:d]
-            a, c = b, d
-    return out
+def _ranges(ends: np.ndarray):
+    return zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())
 
 
-BLOCK = ("words", "word_ends", "ids", "id_ends")
+BLOCK = ("hashes", "words", "word_ends", "ids", "id_ends")
 
 
 def _flat(lists: pa.ListArray, kind: str = "u1") -> tuple[bytes, bytes]:
@@ -233,19 +228,48 @@ GAP = struct.pack("<i", -1)
 
 
 class _Words:
-    """Packed ids by word, and what a document's unknown words leave open."""
-
-    def __init__(self, known: list[tuple[bytes, ...]], words: dict[str, int]):
-        self.known = _unpacked(known) | {w: struct.pack("<i", rank) for w, rank in words.items()}
-
-    def place(self, pieces: list[str]) -> tuple[bytes, list[int], list[list[int]]]:
-        """Packed ids with ``GAP`` for unknown words, the words in those gaps by number, and their bytes."""
-        distinct, known = set(pieces), self.known
-        local = {w: known.get(w, GAP) for w in distinct}  # small, so that the look-ups of all pieces are quick
-        packed = b"".join(map(local.__getitem__, pieces))
-        own = {w: i for i, w in enumerate(w for w, ids in local.items() if ids is GAP)}
-        gaps = list(map(own.__getitem__, filter(own.__contains__, pieces))) if own else []
-        return packed, gaps, [list(w.encode()) for w in own]
+    """Packed ids by word, in flat buffers sorted by the words' hashes; words are compared themselves."""
+
+    def __init__(self, blocks: list[tuple[bytes, ...]], words: dict[str, int]):
+        self.file = {w: struct.pack("<i", rank) for w, rank in words.items()}
+        self.words, self.ids = (b"".join(b[i] for b in blocks) for i in (1, 3))
+        bounds = []
+        for buffer, ends in ((1, 2), (3, 4)):
+            shift = np.cumsum([0, *(len(b[buffer]) for b in blocks)])
+            each = [np.frombuffer(b[ends], "<i4") + s for b, s in zip(blocks, shift)]
+            stop = np.concatenate([*each, np.zeros(0, np.int64)]).astype(np.int32)
+            bounds += [np.r_[np.int32(0), stop[:-1]], stop] if len(stop) else [stop, stop]
+        hashes = np.concatenate([*(np.frombuffer(b[0], "<u8") for b in blocks), np.zeros(0, np.uint64)])
+        order = np.argsort(hashes)
+        self.hashes, self.bounds = hashes[order], [x[order] for x in bounds]
+
+    def look_up(self, words: list[str]) -> dict[str, bytes]:
+        """Packed ids of the words that are known."""
+        if not words or not len(self.hashes):
+            return {}
+        raw = [w.encode() for w in words]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        places = zip(hit.tolist(), *(x[at[hit]].tolist() for x in self.bounds))
+        return {words[i]: self.ids[c:d] for i, a, b, c, d in places if self.words[a:b] == raw[i]}
+
+    def place(self, texts: list[list[str]]) -> tuple[list[bytes], list[list[int]], list[list[list[int]]]]:
+        """For each cut text: packed ids with ``GAP`` for unknown words, those words by number, and their bytes."""
+        distinct, file = set().union(*texts), self.file
+        unknown = [w for w in distinct if w not in file]
+        local = self.look_up(unknown)
+        own = set(unknown) - local.keys()
+        local.update((w, file[w]) for w in distinct if w in file)
+        local.update((w, GAP) for w in own)
+        packed, gaps, rare = [], [], []
+        for pieces in texts:
+            packed.append(b"".join(map(local.__getitem__, pieces)))
+            open_ = list(filter(own.__contains__, pieces))
+            number = {w: i for i, w in enumerate(dict.fromkeys(open_))}
+            gaps.append([number[w] for w in open_])
+            rare.append([list(w.encode()) for w in number])
+        return packed, gaps, rare
 
 
 def _runs(texts: list[bytes]) -> pa.Array:
@@ -274,7 +298,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
 
     def run(batch: pa.RecordBatch):
         cut, ids = splitter(pattern).findall, _worker_words(known, shared)
-        texts, gaps, rare = zip(*[ids.place(cut(text)) for text in batch.column(1).to_pylist()]) if batch.num_rows else ((), (), ())
+        texts, gaps, rare = ids.place([cut(text) for text in batch.column(1).to_pylist()])
         yield {"doc_id": batch.column(0), "runs": _runs(texts), "gaps": gaps, "rare": rare}
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))

@@ -44,8 +44,19 @@ def keyed(df: DataFrame) -> DataFrame:
     return materialize(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
+#: Bytes of a batch that are worked on at a time in a Python worker.
+PORTION = 1 << 20
+
+
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in portions of about ``PORTION`` bytes, so that what is made of them stays small."""
+    rows = max(1, batch.num_rows * PORTION // max(PORTION, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, list]]], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions that turn one batch into dicts of columns; strings arrive as bytes.
+    """``mapInArrow`` for functions that turn a portion of a batch into dicts of columns; strings arrive as bytes.
 
     ``fn`` yields one dict per output batch, so that a function may emit more or fewer rows than it reads.
     """
@@ -56,8 +67,9 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for cols in fn(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
+            for part in portions(batch):
+                for cols in fn(part):
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
 

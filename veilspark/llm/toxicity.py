@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize
+from veilspark.llm.common import as_bytes, map_batches, materialize, portions
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: Hashed space of the subsequences.
@@ -318,7 +318,8 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_scores(shared.value, as_bytes(batch.column(at))) < THRESHOLD))
+            for part in portions(batch):
+                yield part.filter(pa.array(_scores(shared.value, as_bytes(part.column(at))) < THRESHOLD))
         _SCORERS.clear()  # later stages find the worker's memory free
 
     return docs.mapInArrow(run, docs.schema)
