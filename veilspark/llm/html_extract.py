@@ -2,9 +2,10 @@
 
 Each page becomes a small tree. Every node gets its characters, tags, link characters and link tags; its density is
 characters per tag, weighed down by the share of links. The densities of a node's children add up to its density sum.
-Among nodes that hold blocks, the subtree with the largest sum is the core; the text density along the path from body
-to the core gives the threshold up to which its ancestors still belong to the article. Parts that markup names as
-something else (menus, headers, footers, sidebars, notices, adverts, forms, scripts, reader comments) are cut off first.
+Among nodes that hold blocks, the subtree with the largest sum is the core. The smallest density on the path from body to
+the core, on the page as it came, is the threshold: an ancestor of the core joins the article if what it adds is at least
+as dense. Parts that markup names as something else (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+reader comments) are cut off first; no element is taken for the article because of its name.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -49,92 +51,145 @@ ENDS = {
     "option": ("option",), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th"),
 }
 HOLDS = frozenset("ul ol dl table select html body td th article section div".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAME_START = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile("[>\"']")
+ATTR = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]++)))?+")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 SPACE = re.compile(r"\s+")
-#: An ancestor belongs to the article if its density is at least this share of the core's.
-NEAR = 0.5
-
 
 class Node:
-    __slots__ = ("tag", "parent", "inside", "cut", "main", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "blocks")
+    __slots__ = (
+        "tag", "parent", "inside", "cut", "main", "in_main", "named", "near", "chars", "tags", "link_chars", "link_tags", "density", "total",
+        "blocks", "raw",
+    )
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.inside = tag, parent, []
         named = {a.lower(): b or c or d for a, b, c, d in ATTR.findall(attrs)} if attrs.strip() else {}
         role = named.get("role", "").lower()
         self.main = tag in ("article", "main") or role in ("main", "article")
+        self.in_main = self.main or parent is not None and parent.in_main
+        self.near = self if tag in BLOCK or parent is None else parent.near  # the innermost block around
         names = [x for x in f"{named.get('class', '')} {named.get('id', '')}".split() if CUT_NAMES.fullmatch(x)]
         self.cut = tag in CUT or role in CUT_ROLES or "hidden" in named
         self.named = bool(names) and tag not in ("html", "body")
         if tag == "header" or self.named and all(map(HEADER_NAMES.fullmatch, names)):  # of the page, not of an article
-            up = parent
-            while up is not None and not up.main:
-                up = up.parent
-            self.cut = up is None if tag == "header" else self.cut
-            self.named = self.named and up is None
+            outside = parent is None or not parent.in_main
+            self.cut = outside if tag == "header" else self.cut
+            self.named = self.named and outside
+
+
+def tags(source: str):
+    """(start, end, name, closing, attributes) of what stands in angle brackets; name is empty for comments and the like.
+
+    Time is linear on broken pages too: a quote or bracket that is never closed is looked for once, from the page's end.
+    """
+    last = {c: source.rfind(c) for c in "\"'>"}
+    at = yield_from = 0
+    while (at := source.find("<", yield_from)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(source)
+            yield_from = (yield at, end, "", False, "") or end
+            continue
+        if last[">"] < at:
+            return
+        if source.startswith(("<!", "<?"), at):
+            end = source.index(">", at) + 1
+            yield_from = (yield at, end, "", False, "") or end
+            continue
+        closing = source.startswith("/", at + 1)
+        name = NAME_START.match(source, at + 1 + closing)
+        if not name:
+            yield_from = at + 1
+            continue
+        end = name.end()
+        while (stop := STOP.search(source, end)) and stop[0] != ">":
+            closed = last[stop[0]] > stop.start()
+            end = source.index(stop[0], stop.end()) + 1 if closed else stop.end()
+        end = stop.end() if stop else source.index(">", at) + 1
+        yield_from = (yield at, end, name[0].lower(), closing, source[name.end() : end - 1]) or end
 
 
 def parse(source: str) -> Node:
     """A tolerant tree: missing end tags are implied, stray ones ignored."""
     root = at = Node("html", None)
-    place, size = 0, len(source)
-    while place < size:
-        token = TOKEN.search(source, place)
-        text = source[place : token.start() if token else size]
-        if text:
-            at.inside.append(html.unescape(text))
-        if not token:
+    open_tags: Counter[str] = Counter()
+    place = 0
+
+    def leave(node: Node) -> Node:
+        """The parent of an open node; all that is open in it is closed."""
+        nonlocal at
+        while True:
+            open_tags[at.tag] -= 1
+            at, gone = at.parent, at
+            if gone is node:
+                return at
+
+    scan, skip = tags(source), None
+    while True:
+        try:
+            start, end, tag, closing, attrs = scan.send(skip) if skip else next(scan)
+        except StopIteration:
             break
-        place = token.end()
-        if not token[2]:
-            continue
-        tag = token[2].lower()
-        if token[1]:
-            up = at
-            while up is not None and up.tag != tag:
-                up = up.parent
-            if up is not None and up.parent is not None:
-                at = up.parent
+        skip = None
+        if text := source[place:start]:
+            at.inside.append(html.unescape(text))
+        place = end
+        if not tag or tag == "html" and at is root:
             continue
-        if tag in ("html", "body") and at.parent is None and tag == "html":
+        if closing:
+            if open_tags[tag]:
+                up = at
+                while up.tag != tag:
+                    up = up.parent
+                leave(up)
             continue
-        if tag in BLOCK:  # a block ends an open paragraph
-            up = at
-            while up is not None and up.tag != "p" and (up.tag not in BLOCK or up.tag == "p"):
-                up = up.parent
-            if up is not None and up.tag == "p":
-                at = up.parent
-        if tag in ENDS:
-            up = at
-            while up is not None and up.tag not in ENDS[tag] and up.tag not in HOLDS:
-                up = up.parent
-            while up is not None and up.tag in ENDS[tag]:
-                at = up = up.parent
-        node = Node(tag, at, token[3])
+        if tag in BLOCK and at.near.tag == "p" and at.near is not root:  # a block ends an open paragraph
+            leave(at.near)
+        if tag in ENDS and any(open_tags[x] for x in ENDS[tag]):
+            up = at if at.tag in ENDS[tag] else at.near
+            while up.tag not in ENDS[tag] and up.tag not in HOLDS and up.parent is not None:
+                up = up.parent.near
+            while up.tag in ENDS[tag]:
+                up = leave(up)
+        node = Node(tag, at, attrs)
         at.inside.append(node)
-        if tag in VOID or token[3].endswith("/") and tag not in BLOCK and tag not in RAW:
+        if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, place)
-            place = end.end() if end else size
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, place)
+            place = skip = close.end() if close else len(source)
             continue
         at = node
+        open_tags[tag] += 1
+    if text := source[place:]:
+        at.inside.append(html.unescape(text))
     return root
 
 
-def _walk(root: Node) -> list[Node]:
-    """Nodes that stay, parents first."""
+def _walk(root: Node, whole: bool = False) -> list[Node]:
+    """Nodes that stay, or all of them, parents first."""
     out, todo = [], [root]
     while todo:
         node = todo.pop()
         out.append(node)
-        todo.extend(x for x in reversed(node.inside) if isinstance(x, Node) and not x.cut)
+        todo.extend(x for x in reversed(node.inside) if isinstance(x, Node) and (whole or not x.cut))
     return out
 
 
-def measure(root: Node) -> list[Node]:
-    nodes = _walk(root)
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Characters per tag, weighed down by links; ``share`` is the page's share of link characters."""
+    c, t, lc, lt = chars, max(1, tags), link_chars, max(1, link_tags)
+    base = math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e))
+    if base <= 0 or not c:
+        return c / t
+    return c / t * max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt)) / base)
+
+
+def measure(root: Node, whole: bool = False) -> tuple[list[Node], float]:
+    """Nodes with their counts, densities and density sums, and the share of link characters in the body."""
+    nodes = _walk(root, whole)
     for n in nodes:
         n.chars = sum(len(SPACE.sub(" ", x).strip()) for x in n.inside if isinstance(x, str))
         n.tags = n.link_chars = n.link_tags = n.blocks = 0
@@ -152,14 +207,10 @@ def measure(root: Node) -> list[Node]:
     body = next((n for n in nodes if n.tag == "body"), root)
     share = body.link_chars / max(1, body.chars)
     for n in nodes:
-        c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, max(1, n.link_tags)
-        n.density = c / t
-        base = math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e))
-        if base > 0 and c:
-            n.density *= max(0.0, math.log(max(1.0, c / max(1, lc) * t / lt)) / base)
+        n.density = composite(n.chars, n.tags, n.link_chars, n.link_tags, share)
         if n.parent is not None:
             n.parent.total += n.density
-    return nodes
+    return nodes, share
 
 
 def cut_named(root: Node) -> None:
@@ -181,7 +232,7 @@ def cut_named(root: Node) -> None:
         held = [n for n in nodes if n.main and n.chars > n.link_chars]
         core = max((n for n in nodes if n.blocks), key=lambda n: n.total, default=None)
         for n in (*held, *([core] if core is not None else [])):
-            while n is not None:
+            while n is not None and id(n) not in keep:
                 keep.add(id(n))
                 n = n.parent
         keep.update(id(n) for n in nodes if n.chars - n.link_chars > most)
@@ -190,22 +241,29 @@ def cut_named(root: Node) -> None:
 
 
 def choose(root: Node) -> Node:
-    """The root of the article."""
+    """The root of the article: the core, and those of its ancestors below body that add text as dense as the threshold.
+
+    Headings beside the core are the article's; a page without body counts as a body.
+    """
+    for n in measure(root, whole=True)[0]:
+        n.raw = n.density
     cut_named(root)
-    nodes = measure(root)
-    core = max((n for n in nodes if n.blocks), key=lambda n: n.total, default=root)
-    path, n = [], core
+    nodes, share = measure(root)
+    top = max((n for n in nodes if n.blocks), key=lambda n: n.total, default=root)
+    path, n = [], top
     while n is not None:
         path.append(n)
         n = n.parent
-    named = [n for n in path if n.main]
-    if named:
-        return named[-1]
-    top = core
-    for n in path:
-        if n.tag in ("html", "body") or n.density < NEAR * core.density:
+    threshold = min(n.raw for n in path if n.tag != "html" or n is top)
+    for n, up in zip(path, path[1:]):
+        if up.tag in ("html", "body"):
+            break
+        aside = [x for x in up.inside if isinstance(x, Node) and not x.cut and x is not n and x.tag in HEADINGS]
+        chars = up.chars - n.chars - sum(x.chars for x in aside)
+        tags = up.tags - n.tags - 1 - sum(x.tags + 1 for x in aside)
+        if chars and composite(chars, tags, up.link_chars - n.link_chars, up.link_tags - n.link_tags, share) < threshold:
             break
-        top = n
+        top = up
     return top
 
 
@@ -235,7 +293,9 @@ def article_text(source: str | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text), one row for each row of ``pages``; null or empty html gives an empty text.
 
-    Pages are independent of each other: one pass, nothing is shuffled. Other columns are ignored.
+    Pages are independent of each other: one pass, nothing is shuffled. Repeated rows, and rows without page_id or url,
+    are treated like others; whole pages are read, however long or broken, in linear time. An empty table gives no rows;
+    other columns are ignored.
     """
 
     def run(batch: pa.RecordBatch):
