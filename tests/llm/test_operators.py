@@ -79,8 +79,8 @@ def test_simhash(spark, docs):
 def test_linked_fingerprints_are_exact(spark):
     rng = np.random.default_rng(1)
     base = rng.integers(-(2**62), 2**62, 6)
-    fps = sorted({int(b) ^ int(np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 63, k))) for b in base for k in (1, 1, 2, 3, 4, 5)} | set(map(int, base)))
-    edges = [(r.a, r.b) for r in simhash_dedup.linked_fingerprints(spark.createDataFrame([(x,) for x in fps], "fp long")).collect()]
+    half = [int(base[0]) ^ (int(x) << 32) for x in rng.integers(0, 1 << 31, 40)]  # agree in a segment, far apart in the other
+    fps = sorted(set(half) | {int(b) ^ int(np.bitwise_xor.reduce(np.int64(1) << rng.integers(0, 63, k))) for b in base for k in (1, 1, 2, 3, 4, 5)} | set(map(int, base)))
     want = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= 2]
 
     def groups(pairs):
@@ -90,7 +90,11 @@ def test_linked_fingerprints_are_exact(spark):
             up[max(find(a), find(b))] = min(find(a), find(b))
         return [find(x) for x in fps]
 
-    assert groups(edges) == groups(want)
+    table = spark.createDataFrame([(x,) for x in fps], "fp long")
+    for crowd in (64, 2, 0):  # tables alone, some entries and all entries as crowds
+        edges = [(r.a, r.b) for r in simhash_dedup.linked_fingerprints(table, crowd).collect()]
+        assert groups(edges) == groups(want)
+    assert len(want) > 20
 
 
 def test_lines(spark, docs):

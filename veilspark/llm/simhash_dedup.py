@@ -1,12 +1,14 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A 64-bit fingerprint is cut into two 32-bit segments. Two fingerprints that differ in at most two bits have a common
-neighbour that differs from each in at most one bit, and that bit lies in one of the segments. So the index enumerates,
-within each segment, the Hamming ball of radius one (32 flipped values, and the segment itself), and stores the
-fingerprint at each address (flipped segment, other segment): 65 addresses. Fetching an address is a hash aggregation
-whose state is one 64-bit mask of flipped positions: at most 65 fingerprints can meet at an address, so no bucket grows
-with the data and no list of pairs is ever made, however many near copies there are. Every match is verified on the
-complete fingerprints.
+A 64-bit fingerprint is cut into two 32-bit segments, each with a table of the fingerprints under the segment's value. Two
+fingerprints that differ in at most two bits differ in at most one bit of the first segment, or in none of the second. So
+a look-up enumerates the Hamming ball of radius one around the first segment (33 values) and the value of the second,
+fetches what the tables hold there, and verifies the distance of the complete fingerprints.
+
+A table entry with many distinct fingerprints (thousands of near copies can agree in a segment) would give pairs without
+number. Fingerprints that look up such an entry are linked in another exact way: two of them within two bits have a common
+neighbour one bit from each, so each is stored at itself and its 64 neighbours, where at most 65 can meet, and an entry's
+state is one mask of flipped bits.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from veilspark.llm.components import connected_components
 SHINGLE = 3
 SEED = 42
 MAX_BITS = 2
+#: Fingerprints of one table entry from which on it is not fetched.
+CROWD = 64
 CHUNK = 1 << 16
 
 
@@ -50,9 +54,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
-def linked_fingerprints(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints ``fp`` that link everything within two bits, in linear size."""
-    balls = distinct.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit"))
+def looked_up(distinct: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored and looked-up addresses (address, fp): a segment's number in front of its 32 bits."""
+    # Few and small rows that become many: dealt anew before they are multiplied.
+    fps = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    first, second = "fp & 4294967295L", "(1L << 32) | shiftrightunsigned(fp, 32)"
+    stored = fps.select(F.expr(f"explode(array({first}, {second}))").alias("address"), "fp")
+    ball = f"transform(sequence(0, 31), i -> ({first}) ^ shiftleft(1L, i))"
+    return stored, fps.select(F.expr(f"explode(concat(array({first}, {second}), {ball}))").alias("address"), "fp")
+
+
+def linked_fingerprints(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints ``fp`` that link everything within ``MAX_BITS`` bits."""
+    stored, probes = looked_up(distinct)
+    crowded = materialize(stored.groupBy("address").count().where(F.col("count") > crowd).select("address"))
+    none = crowded.isEmpty()
+    fetched = probes.withColumnRenamed("fp", "a").join((stored if none else stored.join(crowded, "address", "left_anti")).withColumnRenamed("fp", "b"), "address")
+    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
+    edges = fetched.where((F.col("a") < F.col("b")) & near).select("a", "b")
+    if none:
+        return edges
+    return edges.unionByName(neighbours_met(materialize(probes.join(crowded, "address", "left_semi").select("fp").distinct())))
+
+
+def neighbours_met(distinct: DataFrame) -> DataFrame:
+    """Edges (a, b) that link everything within two bits, in linear size however many fingerprints agree in a segment."""
+    fps = distinct.select("fp").repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    balls = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("bit"))
     mask = F.expr("if(bit < 64, shiftleft(1L, bit), 0L)")
     stored = balls.select(F.col("fp").bitwiseXOR(mask).alias("address"), mask.alias("mask"), (F.col("bit") == 64).alias("own"))
     met = stored.groupBy("address").agg(F.bit_or("mask").alias("mask"), F.max("own").alias("own"))
@@ -62,7 +90,7 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
         " i -> address ^ if(i < 64, shiftleft(1L, i), 0L))"
     )
     met = met.select(members.alias("m")).select(F.array_min("m").alias("a"), F.explode("m").alias("b"))
-    return met.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS))
+    return met.where(F.col("a") != F.col("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -85,7 +113,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group, with all columns: the one with the smallest doc_id, if any has one."""
+    """One row of ``docs`` for each group, with all columns: the one with the smallest doc_id, if any has one.
+
+    Rows without doc_id stay where their group has no other, one of each group; of repeated rows one stays.
+    """
     rows = keyed(docs)
     groups = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     ids = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).join(groups, ROW)
