@@ -3,7 +3,8 @@
 Every rolling k-gram of every text is joined to the positions of the same k-gram in the licence templates. A pair of
 positions votes for the diagonal (text position minus template position); a copy of a template puts its votes on one
 diagonal, inserted or dropped words shift the rest to a neighbouring one. Neighbouring diagonals are merged, and a span
-is reported if enough of the template, closely enough together, stands behind it.
+is verified: the words of its k-grams are compared with the template's, and enough of the template's k-grams and words
+must stand behind it, closely enough together.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import Window as W
 K = 3
 #: Diagonals that are no further apart belong to one copy.
 SHIFT = 4
-COVERAGE = 0.6
-DENSITY = 0.5
-#: Template k-grams up to this number are sent to all executors; more are joined by hash.
+#: Shares of a template's k-grams and words that a copy holds, and of a copy's k-grams that are the template's.
+COVERAGE, WORDS, DENSITY = 0.6, 0.75, 0.5
+#: Template k-grams up to this number are sent to all executors, which leave out all other positions; more are joined by
+#: hash. The result is the same.
 BROADCAST_GRAMS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fixed phrases and their labels.
@@ -66,39 +68,46 @@ def phrase_places(w: Column, phrase: str) -> Column:
     return F.when(F.array_contains(w, parts[-1]), F.filter(F.sequence(F.lit(0), F.size(w) - 1), here)).otherwise(none)
 
 
-def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> tuple[DataFrame, int]:
-    """(gram, template, label, at, grams) and the number of rows."""
+def template_grams(spark: SparkSession, templates=TEMPLATES, k: int = K) -> tuple[DataFrame, list]:
+    """(gram, spelt, template, label, at, grams, size), and the k-grams' words."""
     rows = []
     for t, (label, text) in enumerate(templates):
         w = text.split(" ")
-        rows += [(w[i : i + k], t, label, i, len(w) - k + 1) for i in range(len(w) - k + 1)]
-    schema = "w array<string>, template int, label string, at int, grams int"
-    grams = spark.createDataFrame(rows, schema)
-    return grams.select(F.xxhash64(*[F.get("w", F.lit(j)) for j in range(k)]).alias("gram"), "template", "label", "at", "grams"), len(rows)
+        rows += [(w[i : i + k], t, label, i, len(w) - k + 1, len(w)) for i in range(len(w) - k + 1)]
+    grams = spark.createDataFrame(rows, "spelt array<string>, template int, label string, at int, grams int, size int")
+    return grams.withColumn("gram", F.xxhash64(*[F.get("spelt", F.lit(j)) for j in range(k)])), [r[0] for r in rows]
 
 
-def template_spans(docs: DataFrame, templates=TEMPLATES, k: int = K) -> DataFrame:
+def template_spans(docs: DataFrame, templates=TEMPLATES, k: int = K, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """(doc_id, t, template, label, first_word, last_word, coverage): verified copies of templates.
 
     ``t`` is xxhash64 of the text, which keeps rows apart that share a doc_id. Words count from 0.
     """
-    table, n = template_grams(docs.sparkSession, templates, k)
-    table = F.broadcast(table) if n <= BROADCAST_GRAMS else table
+    table, spelt = template_grams(docs.sparkSession, templates, k)
+    small = len(spelt) <= broadcast_grams
     worded = docs.select(*_row_key(), words(F.col("text")).alias("w")).where(F.size("w") >= k)
     gram = lambda i: F.xxhash64(*[F.get("w", i + j) for j in range(k)])
-    rolled = worded.select("doc_id", "t", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - k), gram)).alias("pos", "gram"))
-    hits = rolled.join(table, "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
-    key = ["doc_id", "t", "template", "label", "grams"]
+    places = F.sequence(F.lit(0), F.size("w") - k)
+    if small:
+        hashes = [r.gram for r in table.select("gram").distinct().collect()]  # bounded, as the templates are the caller's
+        places = F.filter(places, lambda i: gram(i).isin(*hashes))
+    found = F.transform(places, lambda i: F.struct(i.alias("pos"), gram(i).alias("gram"), F.slice("w", i + 1, F.lit(k)).alias("here")))
+    rolled = worded.select("doc_id", "t", F.explode(found).alias("x")).select("doc_id", "t", "x.*")
+    hits = rolled.join(F.broadcast(table) if small else table, "gram").where("here = spelt").withColumn("diagonal", F.col("pos") - F.col("at"))
+    key = ["doc_id", "t", "template", "label", "grams", "size"]
     # A diagonal of one text and template has at most as many votes as the template has k-grams.
     votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("at").alias("ats"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     w = W.partitionBy(*key).orderBy("diagonal")
     apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(w) > SHIFT).cast("int"), F.lit(0))
     copies = votes.withColumn("apart", apart).withColumn("copy", F.sum("apart").over(w))
     merged = copies.groupBy(*key, "copy").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
+    )
+    matched = F.size(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + k - 1)))))
+    coverage = F.size("ats") / F.col("grams")
+    verified = merged.where(
+        (coverage >= COVERAGE) & (matched >= WORDS * F.col("size")) & (F.size("ats") >= DENSITY * (F.col("hi") - F.col("lo") + 1))
     )
-    coverage = F.col("votes") / F.col("grams")
-    verified = merged.where((coverage >= COVERAGE) & (F.col("votes") >= DENSITY * (F.col("hi") - F.col("lo") + 1)))
     return verified.select("doc_id", "t", "template", "label", F.col("lo").alias("first_word"), (F.col("hi") + k - 1).alias("last_word"), coverage.alias("coverage"))
 
 
