@@ -2,7 +2,8 @@
 
 The index is a Parquet table bucketed and sorted by digest in shared storage. A new batch is reduced to one row per
 digest (map-side combined, so a group that holds a third of all rows costs one row per task), joined to the index by a
-sort-merge anti-join that moves only the batch's side, and its unseen digests are appended.
+sort-merge anti-join that moves only the batch's side, and its unseen digests are appended under the batch's name. A batch
+that is run again under its name, after a failure or by mistake, keeps the same rows and appends only what is missing.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def digests(docs: DataFrame, *others: str) -> DataFrame:
 
 
 class DigestIndex:
-    """A table (digest, keep_id, group_size) at ``path``, bucketed and sorted by digest."""
+    """A table (digest, keep_id, group_size, batch) at ``path``, bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         """``path``: an existing or new folder that all executors share; ``buckets`` is fixed when it is made."""
@@ -41,20 +42,30 @@ class DigestIndex:
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def unseen(self, groups: DataFrame) -> DataFrame:
-        """Groups whose digest the index doesn't hold: sort-merge anti-join on the buckets."""
-        return groups.hint("merge").join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
-
-    def append(self, groups: DataFrame) -> None:
+    def unseen(self, groups: DataFrame, batch: str) -> DataFrame:
+        """Groups whose digest no other batch has brought: sort-merge anti-join on the buckets."""
+        others = self.rows().where(F.col("batch") != batch).select("digest")
+        return groups.hint("merge").join(others.hint("merge"), "digest", "left_anti")
+
+    def seen(self, groups: DataFrame, batch: str) -> DataFrame:
+        """What other batches have stored for digests of ``groups``; the index is read bucket by bucket, not moved."""
+        others = self.rows().where(F.col("batch") != batch)
+        return others.hint("merge").join(groups.select("digest").hint("merge"), "digest", "left_semi")
+
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Stores the groups that ``batch`` hasn't stored yet."""
+        own = self.rows().where(F.col("batch") == batch).select("digest")
+        if not own.isEmpty():
+            groups = materialize(groups.hint("merge").join(own.hint("merge"), "digest", "left_anti"))
         (
-            groups.select("digest", "keep_id", "group_size")
+            groups.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
             .repartition(self.buckets, "digest")
             .write.format("parquet").mode("append").option("path", self.path)
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
@@ -66,46 +77,45 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+def _groups(rows: DataFrame) -> DataFrame:
+    """(digest, keep_id, group_size, row) of ``rows`` (doc_id, digest, chars, row): the row that stays of each digest."""
+    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("negative_id"), (-F.col(ROW)).alias("negative_row")))
+    groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
+    # Written before the anti-join, which the optimizer would otherwise push below the aggregation, onto every row.
+    return materialize(groups.select("digest", (-F.col("best.negative_id")).alias("keep_id"), "group_size", (-F.col("best.negative_row")).alias(ROW)))
+
+
+def dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row for each row of ``docs``.
 
-    Of equal texts of a batch, the row with the most code points, then the smallest doc_id stays, unless an earlier
-    batch already stored that digest: then its keep_id holds and no row of this batch is kept. ``group_size`` counts
-    the rows of the batch that brought the digest. Null text counts as empty. Rows without doc_id never win over rows
-    with one. Repeated rows (same doc_id and text) are one identity and are marked alike. An empty table gives no rows.
-    Other columns are ignored, whatever their names.
+    Of equal texts of a batch, the row with the most code points, then the smallest doc_id stays, unless another batch
+    stored that digest: then its keep_id holds and no row of this batch is kept. ``group_size`` counts the rows of the
+    batch that brought the digest. ``batch`` names the batch, so that it can be run again; without a name it is a new one.
+    Null text counts as empty. Rows without doc_id never win over rows with one. Of repeated rows exactly one can stay.
+    An empty table gives no rows. Other columns are ignored, whatever their names.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    rows = materialize(digests(docs))
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("negative_id")))
-    groups = rows.groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-    # Written before the anti-join, which the optimizer would otherwise push below the aggregation, onto every row.
-    groups = materialize(groups.select("digest", (-F.col("best.negative_id")).alias("keep_id"), "group_size"))
-    fresh = materialize(index.unseen(groups))
-    index.append(fresh)
+    index, batch = index or DigestIndex(docs.sparkSession), batch or uuid.uuid4().hex
+    rows = materialize(digests(docs, F.monotonically_increasing_id().alias(ROW)))
+    groups = _groups(rows)
+    fresh = materialize(index.unseen(groups, batch))
+    seen = materialize(index.seen(groups, batch).select("digest", "keep_id", "group_size", F.lit(None).cast("long").alias(ROW)))
+    index.append(fresh, batch)
     # Both sides are plain scans, so that adaptive execution can split the partitions of hot digests.
-    known = docs.sparkSession.read.schema("digest binary, keep_id long, group_size long").parquet(index.path).select("digest", "keep_id", "group_size")
-    marked = fresh.select("digest", F.lit(True).alias("fresh"))
-    verdict = materialize(known.join(marked, "digest", "left").select("digest", "keep_id", "group_size", F.coalesce("fresh", F.lit(False)).alias("fresh")))
+    verdict = materialize(fresh.select("digest", "keep_id", "group_size", ROW).unionByName(seen)).withColumnRenamed(ROW, "__kept")
     return rows.join(verdict, "digest", "left").select(
-        "doc_id", "keep_id", "group_size",
-        (F.col("fresh") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        "doc_id", "keep_id", "group_size", F.col(ROW).eqNullSafe(F.col("__kept")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
-def kept_documents(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """One row of ``docs`` for each text that the index doesn't hold, with all columns.
+def kept_documents(docs: DataFrame, index: DigestIndex | None = None, batch: str | None = None) -> DataFrame:
+    """One row of ``docs`` for each text that no other batch of the index holds, with all columns.
 
     The choice is that of ``dedup``; of repeated rows, and of rows without doc_id where no other has the text, one stays.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    index, batch = index or DigestIndex(docs.sparkSession), batch or uuid.uuid4().hex
     rows = keyed(docs)
-    best = F.max(F.struct("chars", (-F.col("doc_id")).alias("negative_id"), (-F.col(ROW)).alias("negative_row")))
-    groups = digests(rows, ROW).groupBy("digest").agg(best.alias("best"), F.count("*").alias("group_size"))
-    groups = materialize(groups.select("digest", (-F.col("best.negative_id")).alias("keep_id"), "group_size", (-F.col("best.negative_row")).alias(ROW)))
-    fresh = materialize(index.unseen(groups))
-    index.append(fresh)
+    fresh = materialize(index.unseen(_groups(digests(rows, ROW)), batch))
+    index.append(fresh, batch)
     return rows.join(fresh.select(ROW), ROW, "left_semi").select(docs.columns)
 
 
