@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,13 +100,20 @@ class BlobLedger:
     """Append-only Parquet table of scanned (blob, rule version) pairs and their findings."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
+        """``path``: an existing or new folder that all executors share."""
         self.spark, self.path = spark, path or shared_dir(spark)
-        if path is None:
+        try:
+            self.rows()
+        except AnalysisException:  # a new one
             spark.createDataFrame([], LEDGER).write.mode("append").parquet(self.path)
 
     def rows(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(self.path)
 
+    def of(self, blobs: DataFrame) -> DataFrame:
+        """The entries of ``blobs`` alone: what is grouped afterwards grows with the batch, not with the ledger."""
+        return self.rows().join(blobs.select("blob"), "blob", "left_semi")
+
     def append(self, scanned: DataFrame) -> None:
         scanned.select("blob", "rules", "findings").write.mode("append").parquet(self.path)
 
@@ -119,14 +127,14 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, .
     ledger = ledger or BlobLedger(docs.sparkSession)
     names = F.array(*[F.lit(r.name) for r in rules])
     paths = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), blob().alias("blob")))
-    done = ledger.rows().groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
     copies = materialize(paths.groupBy("blob").agg(F.min("doc_id").alias("one_id")))
+    done = ledger.of(copies).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("done"))
     todo = copies.join(done, "blob", "left").select(
         F.col("blob").alias("todo_blob"), "one_id", F.array_except(names, F.coalesce("done", F.array().cast("array<string>"))).alias("rules")
     )
     todo = materialize(todo.where(F.size("rules") > 0))
     # One copy of each unseen blob: texts are dealt by their own id, so that a blob with many copies fills no task.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", blob().alias("blob")).where("text <> ''")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), blob().alias("blob"))
     unseen = texts.join(
         todo.hint("shuffle_hash"), (F.col("blob") == F.col("todo_blob")) & F.col("doc_id").eqNullSafe(F.col("one_id"))
     )
@@ -134,7 +142,7 @@ def scan(docs: DataFrame, ledger: BlobLedger | None = None, rules: tuple[Rule, .
     runs = [spans(F.when(F.array_contains("rules", r.name), F.col("text")), r) for r in rules]
     scanned = unseen.select("blob", "rules", F.concat(*runs).alias("findings"))
     ledger.append(scanned)
-    hits = ledger.rows().where(F.size("findings") > 0)
+    hits = ledger.of(copies).where(F.size("findings") > 0)
     order = F.create_map(*[v for i, r in enumerate(rules) for v in (F.lit(r.kind), F.lit(i))])
     every = hits.groupBy("blob").agg(F.flatten(F.collect_set("findings")).alias("every"))
     found = materialize(every.select("blob", _ordered(F.col("every"), names, order).alias("findings")))
