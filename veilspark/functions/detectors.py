@@ -6,7 +6,6 @@ The order is part of the result: the most specific forms come first.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -77,9 +76,9 @@ DETECTORS = (
 )
 #: Sweeps, which leave legal citations alone.
 SWEEPS = DETECTORS[27:]
+# Citations, and labels whose adjacent repeats collapse, as the published scores know them.
 LAW = r"(?:lei|decreto[-\s]?lei)\s*(?:(?:federal|estadual|municipal|complementar|n[.ºo°]*)\s*)*:?\s*[\d][\d.]+/\d{2,4}"
 ARTICLE = r"\bart\.?\s*\d+[°ºª]?\s*(?:,?\s*(?:§|inciso|al[íi]nea|par[áa]grafo|caput)\s*[^,;.{law}]{{0,30}})?"
-#: Labels whose adjacent repeats collapse.
 COLLAPSED = ("TELEFONE", "RG", "CPF", "IMEI", "DATA", "CODIGO", "BO", "VIATURA", "PLACA", "COORDENADA")
 #: Letters that stand for citations during the sweeps; where a text holds them itself, they are kept as citations too.
 LAW_MARK, ARTICLE_MARK = "ꙮ", "ꝏ"
@@ -126,61 +125,46 @@ def detector_labels() -> list[str]:
     return list(dict.fromkeys(d.label for d in DETECTORS))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once: long chains stay linear however the optimizer moves them."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _apply(state: Column, d: Detector) -> Column:
-    """One detector on struct<t, found, gates...>. Texts without a match keep their string."""
-    none = F.array().cast("array<string>")
-
-    def taken(s: Column) -> Column:
-        return _let(
-            F.when(s[d.gate], spans(s["t"], d)).otherwise(none),
-            lambda x: _state(s, F.when(F.size(x) > 0, replaced(s["t"], d)).otherwise(s["t"]), F.concat(s["found"], F.array(x))),
-        )
-
-    return _let(state, taken)
-
-
-def _state(s: Column, t: Column, found: Column) -> Column:
-    return F.struct(t.alias("t"), found.alias("found"), *[s[g].alias(g) for g in GATES])
-
-
-def _protect(state: Column, pattern: str, mark: str) -> Column:
-    """Takes citations out; they are appended to what was found."""
-    cited = lambda s: F.regexp_extract_all(s["t"], F.lit("(?iU)" + pattern), F.lit(0))
-    out = lambda s: F.regexp_replace(s["t"], "(?iU)" + pattern, mark)
-    return _let(state, lambda s: _state(s, F.when(s["digit"] | s["t"].contains(mark), out(s)).otherwise(s["t"]), F.concat(s["found"], F.array(cited(s)))))
+def _apart(value: Column) -> Column:
+    """``value``, always. Not being deterministic, it keeps later filters from being moved below, each with its own chain."""
+    return F.when(F.rand(0) >= 0.0, value)
 
 
 def stage1(df: DataFrame, text: str = "text", out: str = "stage1_text", captures: str = "captures") -> DataFrame:
     """Adds the redacted text and the captures (label to spans, in detector order, then text order) of column ``text``.
 
-    Null and blank texts give an empty text and no captures. Rows are independent: no shuffle.
+    Null and blank texts give an empty text and no captures. Rows are independent: no shuffle. Each detector is a
+    projection of its own on the former one's text, so that all are compiled together and none is worked out twice.
     """
     own = [F.col(f"`{c}`") for c in df.columns if c not in (out, captures)]
-    t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    t = F.when(F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+", "") == "", F.lit("")).otherwise(t)
-    start = F.struct(t.alias("t"), F.array().cast("array<array<string>>").alias("found"))
-    state = _let(start, lambda s: F.struct(s["t"].alias("t"), s["found"].alias("found"), *[s["t"].rlike(p).alias(g) for g, p in GATES.items()]))
+    t, none = F.col("__t"), F.array().cast("array<string>")
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    chain = df.select(*own, F.when(F.regexp_replace(whole, r"(?U)[\s\x1c-\x1f]+", "") == "", F.lit("")).otherwise(whole).alias("__t"))
+    chain = chain.select("*", *[t.rlike(p).alias(f"__{g}") for g, p in GATES.items()])
+
+    def detect(chain: DataFrame, d: Detector) -> DataFrame:
+        """Texts without a match keep their string."""
+        found = f"__{d.code}"
+        chain = chain.withColumn(found, F.when(F.col(f"__{d.gate}"), spans(t, d)).otherwise(none))
+        return chain.withColumn("__t", F.when(F.size(found) > 0, replaced(t, d)).otherwise(t))
+
+    def protect(chain: DataFrame, name: str, pattern: str, mark: str) -> DataFrame:
+        """Takes citations out."""
+        p = "(?iU)" + pattern
+        chain = chain.withColumn(name, F.when(F.col("__digit") | t.contains(mark), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none))
+        return chain.withColumn("__t", F.when(F.size(name) > 0, F.regexp_replace(t, p, mark)).otherwise(t))
+
     for d in DETECTORS[:27]:
-        state = _apply(state, d)
-    state = _protect(_protect(state, law_pattern(), LAW_MARK), article_pattern(), ARTICLE_MARK)
+        chain = detect(chain, d)
+    chain = protect(chain, "__laws", law_pattern(), LAW_MARK)
+    chain = protect(chain, "__articles", article_pattern(), ARTICLE_MARK)
     for d in SWEEPS:
-        state = _apply(state, d)
-    places = {d.code: i for i, d in enumerate(DETECTORS[:27])} | {d.code: 29 + i for i, d in enumerate(SWEEPS)}
-    got = lambda s, i: F.get(s["found"], F.lit(i))
-
-    def finished(s: Column) -> Column:
-        clean = restore(restore(s["t"], ARTICLE_MARK, got(s, 28)), LAW_MARK, got(s, 27))
-        by_label = [F.concat(*[got(s, places[d.code]) for d in DETECTORS if d.label == label]) for label in detector_labels()]
-        found = F.map_from_arrays(F.array(*map(F.lit, detector_labels())), F.array(*by_label))
-        return F.struct(squeeze(collapse(clean)).alias("t"), F.map_filter(found, lambda _, v: F.size(v) > 0).alias("c"))
-
-    done = df.select(*own, _let(state, finished).alias("__done"))
-    return done.select(*own, F.col("__done.t").alias(out), F.col("__done.c").alias(captures))
+        chain = detect(chain, d)
+    for mark, cited in ((ARTICLE_MARK, "__articles"), (LAW_MARK, "__laws")):
+        chain = chain.withColumn("__t", F.when(F.size(cited) > 0, restore(t, mark, F.col(cited))).otherwise(t))
+    by_label = [F.concat(*[F.col(f"__{d.code}") for d in DETECTORS if d.label == label]) for label in detector_labels()]
+    found = F.map_from_arrays(F.array(*map(F.lit, detector_labels())), F.array(*by_label))
+    return chain.select(*own, _apart(squeeze(collapse(t))).alias(out), _apart(F.map_filter(found, lambda _, v: F.size(v) > 0)).alias(captures))
 
 
 def redact_column(df: DataFrame, column: str) -> DataFrame:
