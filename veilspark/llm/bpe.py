@@ -102,19 +102,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<bigint,bigint>>: the id of every pair that merges, by both ids as one number, in slots.
-
-    The JSON text is constant and is folded into one literal when the plan is made.
-    """
-    slots: list[dict[int, int]] = [{} for _ in range(SLOTS)]
+def pair_json(ranks: dict[bytes, int]) -> str:
+    slots: dict[int, list[str]] = {}
     for piece, rank in ranks.items():
         for cut in range(1, len(piece)):
             left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
             if left is not None and right is not None:
                 key = left << SHIFT | right
-                slots[key % SLOTS][key] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+                slots.setdefault(key % SLOTS, []).append(f'"{key}":{rank}')
+    return "[" + ",".join("{" + ",".join(slots.get(i, ())) + "}" for i in range(SLOTS)) + "]"
+
+
+def pair_literal(ranks: dict[bytes, int]) -> Column:
+    """array<map<bigint,bigint>>: the id of every pair that merges, by both ids as one number, in slots.
+
+    The JSON text is constant and is folded into one literal when the plan is made.
+    """
+    return F.from_json(F.lit(pair_json(ranks)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
 
 
 def _let(value: Column, body) -> Column:

@@ -31,7 +31,7 @@ ORDER, SPAN, DECAY = 4, 6, 0.7
 DIMS = 1 << 16
 LANDMARKS = 256
 #: Bound of the fit, in labelled documents; their distinct words, half a KB each in the driver, take part without exception.
-MAX_TRAIN = 3000
+MAX_TRAIN = 2000
 #: Words of a toxic text that stand for it after the first round.
 WITNESSES = 3
 #: Margin of a word that isn't there: a clean one's.
@@ -41,7 +41,7 @@ CLEAN = 10.0
 #: Words a worker remembers before it starts afresh.
 REMEMBER = 100_000
 #: Rows that are worked on at a time where a copy is made.
-ROWS = 8192
+ROWS = 2048
 THRESHOLD = 0.7
 #: Inside a word, what isn't a letter or digit.
 SEPARATORS = re.compile(r"[\W_]+")
@@ -171,7 +171,7 @@ def choose_landmarks(bad: dict[str, int], good: dict[str, int], n_bad: int, n_go
     clean = sorted((w for w, n in good.items() if n >= 2 and n / n_good >= bad.get(w, 0) / n_bad), key=lambda w: (zlib.crc32(w.encode("utf-8", "surrogatepass")), w))
     like = []
     if chosen and clean:
-        near = similarities(clean, chosen).max(axis=1)
+        near = np.concatenate([similarities(clean[at : at + ROWS], chosen).max(axis=1) for at in range(0, len(clean), ROWS)])
         like = [clean[i] for i in np.argsort(-near, kind="stable")[: most // 4]]
     rest = [w for w in clean if w not in set(like)]
     return (chosen + like + rest[: most - len(chosen) - len(like)]) or ["toxic"]
