@@ -77,3 +77,8 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "CEP 01310-100")], "seq long, text string").write.parquet(src)
     run_available(spark, src, "seq long, text string", sink, cp).awaitTermination()
     assert [r.stage1_text for r in spark.read.parquet(sink).collect()] == ["CEP [CEP]"]
+
+
+def test_config_tags():
+    assert io.config_tag("regex_only", model="m:1") == "regex_only" and io.config_tag("ner", backend="b") == "ner_b"
+    assert io.config_tag("encadeado", model="m:8b", order="ab") == "encadeado_m-8b_ab" and io.config_tag("llm") == "llm"

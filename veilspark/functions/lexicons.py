@@ -1,4 +1,4 @@
-"""Dimensions and word lists."""
+"""Dimensions and word lists: fixed values, on which results depend."""
 
 from __future__ import annotations
 

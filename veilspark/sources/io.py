@@ -46,16 +46,14 @@ def first_records(df: DataFrame, n: int, key: str = "seq") -> DataFrame:
     return df.orderBy(key).limit(n) if n else df
 
 
-def config_tag(engine: str, backend: str = "", model: str = "", order: str = "") -> str:
-    """Name of a configuration from its parts."""
-    parts = [engine]
-    if engine == "ner":
-        parts.append(backend)
-    if engine in ("llm", "hibrido", "encadeado") and model:
-        parts.append(model.replace(":", "-"))
-    if engine == "encadeado":
-        parts.append(order)
-    return "_".join(parts)
+#: Which parts, behind the engine itself, name a configuration of each engine.
+TAG_PARTS = {"ner": ("backend",), "llm": ("model",), "hibrido": ("model",), "encadeado": ("model", "order")}
+
+
+def config_tag(engine: str, **parts: str) -> str:
+    """Name of a configuration: its engine and the given ``backend``, ``model`` or ``order``; colons become hyphens."""
+    given = (parts.get(p, "").replace(":", "-") for p in TAG_PARTS.get(engine, ()))
+    return "_".join([engine, *filter(None, given)])
 
 
 def to_rows(outputs: DataFrame) -> DataFrame:
