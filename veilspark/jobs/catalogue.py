@@ -80,16 +80,17 @@ def outputs(s: SparkSession, d: str) -> DataFrame:
     return io.stage(wide.select("v.config", "seq", "text", "stage1_text", "captures", *[f"v.{c}" for c in ent.CATS]))
 
 
-def pairs(s: SparkSession, d: str) -> DataFrame:
-    return sc.matched(outputs(s, d), sc.gold_arrays(narr(s, d)))
+def pairs(s: SparkSession, d: str, out: DataFrame | None = None) -> DataFrame:
+    """``out``: the outputs, where a query uses them more than once."""
+    return sc.matched(outputs(s, d) if out is None else out, sc.gold_arrays(narr(s, d)))
 
 
-def stats(s: SparkSession, d: str) -> DataFrame:
-    return sc.record_stats(pairs(s, d))
+def stats(s: SparkSession, d: str, out: DataFrame | None = None) -> DataFrame:
+    return sc.record_stats(pairs(s, d, out))
 
 
-def sums(s: SparkSession, d: str) -> DataFrame:
-    return sc.totals(stats(s, d))
+def sums(s: SparkSession, d: str, out: DataFrame | None = None) -> DataFrame:
+    return sc.totals(stats(s, d, out))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -508,14 +509,15 @@ def _(s, d):
     return sc.top_misses(stats(s, d))
 
 
-def _costs(s, d) -> DataFrame:
-    rows = outputs(s, d).select("config", F.length("stage1_text").alias("prompt_tokens"), F.size("nomes").alias("completion_tokens"), (F.col("seq") % 10 / 1000).alias("latency_s"))
+def _costs(out: DataFrame) -> DataFrame:
+    rows = out.select("config", F.length("stage1_text").alias("prompt_tokens"), F.size("nomes").alias("completion_tokens"), (F.col("seq") % 10 / 1000).alias("latency_s"))
     return job.mean_costs(rows).drop("mean_prompt")
 
 
 @query("comparison_table", f"WITH {_SUMM}, ent AS (SELECT config, s1.seq, CASE config WHEN 'regex_only' THEN 0 ELSE (SELECT count(DISTINCT {o.norm('entity')}) FROM (SELECT seq, category, entity, 'gazetteer' AS src FROM gaz UNION ALL SELECT seq, category, entity, 'union' FROM men) x WHERE x.seq = s1.seq AND x.category = 'nomes' AND (src = 'gazetteer' OR configs.config = 'union')) END AS names FROM s1, configs), c AS (SELECT config, count(*) AS n, round(avg(seq % 10 / 1000), 6) AS mean_latency, round(avg(names), 6) AS mean_completion FROM ent GROUP BY config) SELECT config, n, round(micro_recall, 6) AS micro_recall, round(micro_precision, 6) AS micro_precision, round(micro_f1, 6) AS micro_f1, round(macro_f1, 6) AS macro_f1, round(macro_safety, 6) AS macro_safety, round(recall_nome, 6) AS recall_nome, round(recall_local, 6) AS recall_local, round(recall_documento, 6) AS recall_documento, mean_latency, mean_completion FROM summ JOIN c USING (config)")
 def _(s, d):
-    return rounded(sc.comparison(sums(s, d), _costs(s, d)))
+    out = outputs(s, d)
+    return rounded(sc.comparison(sums(s, d, out), _costs(out)))
 
 
 # Bootstrap
@@ -558,8 +560,8 @@ def _(s, d):
 # Utility, reconciliation, replay
 
 
-def _kept(s, d) -> DataFrame:
-    return ut.retention(outputs(s, d).withColumn("redacted", rd.redacted(F.col("stage1_text"), {c: F.col(c) for c in ent.CATS})["text"]))
+def _kept(out: DataFrame) -> DataFrame:
+    return ut.retention(out.withColumn("redacted", rd.redacted(F.col("stage1_text"), {c: F.col(c) for c in ent.CATS})["text"]))
 
 
 def _kept_sql() -> str:
@@ -574,7 +576,8 @@ def _(s, d):
 
 @query("utility_table")
 def _(s, d):
-    return rounded(ut.utility_table(sums(s, d), _kept(s, d)))
+    out = outputs(s, d)
+    return rounded(ut.utility_table(sums(s, d, out), _kept(out)))
 
 
 @query("over_removal", f"WITH {_STATS} SELECT config, round(CASE WHEN sum(tp + fp) > 0 THEN sum(fp) / sum(tp + fp) ELSE 0 END, 6) AS over_removal FROM sums GROUP BY config")
@@ -599,7 +602,9 @@ def _(s, d):
 
 @query("tradeoff_table")
 def _(s, d):
-    return rounded(ut.tradeoff(ut.utility_table(sums(s, d), _kept(s, d)), bs.intervals(_metrics(s, d)), CONFIGS))
+    out = outputs(s, d)
+    rows = io.stage(stats(s, d, out))
+    return rounded(ut.tradeoff(ut.utility_table(sc.totals(rows), _kept(out)), bs.intervals(bs.replicate_metrics(bs.replicate_sums(rows, REPLICATES))), CONFIGS))
 
 
 def _replayed(s, d) -> tuple[DataFrame, DataFrame]:
