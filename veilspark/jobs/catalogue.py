@@ -134,7 +134,7 @@ _CAPS = o.captured()
 
 @query("stage1_captures", f"WITH {_PROBE_CHAIN}, {_CAPS} SELECT seq, label, string_agg(span, '|' ORDER BY code, i) AS spans FROM caps GROUP BY seq, label")
 def _(s, d):
-    found = dt.stage1(nv.probes(s, d)).select("seq", F.explode("captures").alias("label", "found"))
+    found = io.stage(dt.stage1(nv.probes(s, d))).select("seq", F.explode("captures").alias("label", "found"))
     return found.select("seq", "label", F.array_join("found", "|").alias("spans"))
 
 
@@ -178,7 +178,7 @@ def _(s, d):
 
 @query("records_with_label", f"WITH {_PROBE_CHAIN}, {_CAPS} SELECT seq, string_agg(span, '|' ORDER BY code, i) AS spans FROM caps WHERE label = 'COORDENADA' GROUP BY seq")
 def _(s, d):
-    return dt.records_with_label(dt.stage1(nv.probes(s, d)), "COORDENADA").select("seq", F.array_join("spans", "|").alias("spans"))
+    return dt.records_with_label(io.stage(dt.stage1(nv.probes(s, d))), "COORDENADA").select("seq", F.array_join("spans", "|").alias("spans"))
 
 
 # Text functions
@@ -433,7 +433,7 @@ def _(s, d):
 @query("output_round_trip", f"WITH {_PROBE_CHAIN}, {_CAPS} SELECT CAST(seq AS VARCHAR) AS seq, label, count(*) AS spans FROM caps GROUP BY ALL")
 def _(s, d):
     """Captures to JSON and back."""
-    out = job.finish(ent.source_none(dt.stage1(nv.probes(s, d))))
+    out = job.finish(ent.source_none(io.stage(dt.stage1(nv.probes(s, d)))))
     back = io.from_rows(io.to_rows(out))
     return back.select("seq", F.explode("captures").alias("label", "x")).select("seq", "label", F.size("x").cast("long").alias("spans"))
 
