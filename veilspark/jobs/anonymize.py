@@ -11,6 +11,7 @@ from veilspark.functions.detectors import stage1
 from veilspark.functions.textnorm import placeholder_count
 from veilspark.operators import entities as ent
 from veilspark.operators.redact import redact, redacted
+from veilspark.sources.io import stage
 
 Source = Callable[[DataFrame], DataFrame]
 
@@ -68,7 +69,8 @@ def anonymize(df: DataFrame, source: Source = ent.source_none) -> DataFrame:
     Null and blank texts give empty texts and status ``vazio``. Detectors and replacement are narrow; only sources
     that look entities up shuffle, by record id.
     """
-    return finish(ent.filter_entities(source(stage1(df))))
+    # Written once: sources read the detectors' text more than once.
+    return finish(ent.filter_entities(source(stage(stage1(df)))))
 
 
 def status_counts(outputs: DataFrame) -> DataFrame:
