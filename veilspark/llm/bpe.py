@@ -139,8 +139,9 @@ def fold_word(word: Column, ranks: dict[bytes, int], pairs: Column) -> Column:
         return F.try_element_at(F.get(pairs, (key % SLOTS).cast("int")), key)
 
     def merge(parts: Column, ranked: Column, at: Column) -> Column:
-        joined = F.transform(parts, lambda x, i: F.when(i == at - 1, F.get(ranked, i)).otherwise(x))
-        return F.filter(joined, lambda _, i: i != at)
+        # Past the pair the parts move up by one place.
+        moved = lambda x, i: F.when(i > at - 1, x).otherwise(F.get(F.when(i == at - 1, ranked).otherwise(parts), i))
+        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), moved)
 
     def step(parts: Column, _: Column) -> Column:
         ranked = F.transform(parts, lambda x, i: rank(x, F.get(parts, i + 1)))
