@@ -206,7 +206,10 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
         yield {name: [buffer] for name, buffer in zip(BLOCK, (np.array(hashes, "<u8").tobytes(), words, ends, *_flat(batch.column(1), "<i4")))}
 
     packed = map_batches(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
-    return [tuple(map(bytes, row)) for row in materialize(packed).collect()]
+    rows, blocks = materialize(packed).collect(), []
+    while rows:  # each row goes as its block is made, so that the driver holds one copy of the dictionary
+        blocks.append(tuple(map(bytes, rows.pop())))
+    return blocks
 
 
 def _ranges(ends: np.ndarray):
