@@ -5,11 +5,14 @@ from __future__ import annotations
 import corpus_pipeline
 from veilspark.llm import (
     bpe,
+    centroids,
     decontaminate,
     exact_dedup,
     html_extract,
     license_scan,
     line_dedup,
+    merkle,
+    minhash_dedup,
     secret_scan,
     simhash_dedup,
     toxicity,
@@ -29,6 +32,9 @@ def queries() -> dict:
         "op8_html_extract": html_extract.op8_html_extract,
         "op9_license_scan": license_scan.op9_license_scan,
         "op10_simhash": simhash_dedup.op10_simhash,
+        "op11_minhash": minhash_dedup.op11_minhash,
+        "op12_merkle": merkle.op12_merkle,
+        "op13_centroids": centroids.op13_centroids,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -38,4 +44,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_secret_scan": secret_scan.SQL,
         "op4_exact_dedup": exact_dedup.SQL,
         "op7_line_dedup": line_dedup.SQL,
+        "op12_merkle": merkle.SQL,
+        "op13_centroids": centroids.SQL,
     }
