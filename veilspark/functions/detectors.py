@@ -121,8 +121,8 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, "  +", " ")
 
 
-def detector_labels() -> list[str]:
-    return list(dict.fromkeys(d.label for d in DETECTORS))
+def detector_labels(detectors: tuple[Detector, ...] = DETECTORS) -> list[str]:
+    return list(dict.fromkeys(d.label for d in detectors))
 
 
 def _apart(value: Column) -> Column:
@@ -130,12 +130,22 @@ def _apart(value: Column) -> Column:
     return F.when(F.rand(0) >= 0.0, value)
 
 
-def stage1(df: DataFrame, text: str = "text", out: str = "stage1_text", captures: str = "captures") -> DataFrame:
+def may_hold(text: Column, detectors: tuple[Detector, ...]) -> Column:
+    """Whether any of the detectors can match in ``text`` at all, by their gates."""
+    some = F.lit(False)
+    for g in sorted({d.gate for d in detectors}):
+        some = some | F.coalesce(text.rlike(GATES[g]), F.lit(False))
+    return some
+
+
+def stage1(df: DataFrame, text: str = "text", out: str = "stage1_text", captures: str = "captures", detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """Adds the redacted text and the captures (label to spans, in detector order, then text order) of column ``text``.
 
     Null and blank texts give an empty text and no captures. Rows are independent: no shuffle. Each detector is a
     projection of its own on the former one's text, so that all are compiled together and none is worked out twice.
+    ``detectors``: another list, in order; those with the codes of the sweeps run behind the citations' protection.
     """
+    last = {d.code for d in SWEEPS}
     own = [F.col(f"`{c}`") for c in df.columns if c not in (out, captures)]
     t, none = F.col("__t"), F.array().cast("array<string>")
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
@@ -154,16 +164,16 @@ def stage1(df: DataFrame, text: str = "text", out: str = "stage1_text", captures
         chain = chain.withColumn(name, F.when(F.col("__digit") | t.contains(mark), F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none))
         return chain.withColumn("__t", F.when(F.size(name) > 0, F.regexp_replace(t, p, mark)).otherwise(t))
 
-    for d in DETECTORS[:27]:
+    for d in [d for d in detectors if d.code not in last]:
         chain = detect(chain, d)
     chain = protect(chain, "__laws", law_pattern(), LAW_MARK)
     chain = protect(chain, "__articles", article_pattern(), ARTICLE_MARK)
-    for d in SWEEPS:
+    for d in [d for d in detectors if d.code in last]:
         chain = detect(chain, d)
     for mark, cited in ((ARTICLE_MARK, "__articles"), (LAW_MARK, "__laws")):
         chain = chain.withColumn("__t", F.when(F.size(cited) > 0, restore(t, mark, F.col(cited))).otherwise(t))
-    by_label = [F.concat(*[F.col(f"__{d.code}") for d in DETECTORS if d.label == label]) for label in detector_labels()]
-    found = F.map_from_arrays(F.array(*map(F.lit, detector_labels())), F.array(*by_label))
+    by_label = [F.concat(*[F.col(f"__{d.code}") for d in detectors if d.label == label]) for label in detector_labels(detectors)]
+    found = F.map_from_arrays(F.array(*map(F.lit, detector_labels(detectors))), F.array(*by_label))
     return chain.select(*own, _apart(squeeze(collapse(t))).alias(out), _apart(F.map_filter(found, lambda _, v: F.size(v) > 0)).alias(captures))
 
 

@@ -21,17 +21,29 @@ def valid(before: Column, after: Column) -> Column:
     return ~((placeholder_count(after) < placeholder_count(before)) | ((F.length(before) > 50) & (F.length(after) < F.length(before) * 0.3)))
 
 
-def chained(first: Source, second: Source, text: str = "stage1_text", key: str = "seq") -> Source:
+def _parked(df: DataFrame) -> DataFrame:
+    """Entities and costs under other names, so that a second source can add its own."""
+    return df.withColumnsRenamed({c: f"__{c}" for c in (*ent.CATS, *ent.COSTS) if c in df.columns})
+
+
+def _merged(df: DataFrame, kept: list) -> DataFrame:
+    """Both sources' entities, without repeats of a norm, and the sums of their costs."""
+    both = [ent.united(F.col(f"__{c}"), F.col(c)).alias(c) for c in ent.CATS]
+    costs = []
+    for c, t in ent.COSTS.items():
+        given = [F.coalesce(F.col(x), F.lit(0)) for x in (f"__{c}", c) if x in df.columns]
+        costs += [sum(given[1:], given[0]).cast(t).alias(c)] if given else []
+    return df.select(*kept, *both, *costs)
+
+
+def chained(first: Source, second: Source, text: str = "stage1_text") -> Source:
     """The second source sees the text without what the first one found; both lists are united."""
 
     def run(df: DataFrame) -> DataFrame:
         a = ent.filter_entities(first(df))
         part = redacted(F.col(text), {c: F.col(c) for c in ent.CATS}, number=False)["text"]
-        kept = [c for c in df.columns if c != text]
-        renamed = a.select(*kept, F.col(text).alias("__whole"), part.alias(text), *[F.col(c).alias(f"__{c}") for c in ent.CATS])
-        b = ent.filter_entities(second(renamed))
-        both = [ent.united(F.col(f"__{c}"), F.col(c)).alias(c) for c in ent.CATS]
-        return b.select(*kept, F.col("__whole").alias(text), *both)
+        a = _parked(a.withColumn("__part", part).withColumnRenamed(text, "__whole").withColumnRenamed("__part", text))
+        return _merged(ent.filter_entities(second(a)), [F.col("__whole").alias(c) if c == text else F.col(c) for c in df.columns])
 
     return run
 
@@ -40,16 +52,17 @@ def union(first: Source, second: Source) -> Source:
     """Entities of both sources, each filtered; the first spelling of a norm stays."""
 
     def run(df: DataFrame) -> DataFrame:
-        a = ent.filter_entities(first(df))
-        a = a.select(*df.columns, *[F.col(c).alias(f"__{c}") for c in ent.CATS])
-        b = ent.filter_entities(second(a))
-        return b.select(*df.columns, *[ent.united(F.col(f"__{c}"), F.col(c)).alias(c) for c in ent.CATS])
+        return _merged(ent.filter_entities(second(_parked(ent.filter_entities(first(df))))), list(df.columns))
 
     return run
 
 
 def finish(found: DataFrame) -> DataFrame:
-    """Replaces, validates, and falls back to the detectors' text where validation fails."""
+    """Replaces, validates, and falls back to the detectors' text where validation fails.
+
+    Costs of the source stay with the record; without any they are zero.
+    """
+    found = found.withColumns({c: F.lit(0).cast(t) for c, t in ent.COSTS.items() if c not in found.columns})
     done = redact(found, "stage1_text", "__text", "replaced")
     ok = valid(F.col("stage1_text"), F.col("__text"))
     blank = F.col("stage1_text") == ""
@@ -63,11 +76,17 @@ def finish(found: DataFrame) -> DataFrame:
     )
 
 
+def steps(df: DataFrame, source: Source = ent.source_none) -> DataFrame:
+    """Detectors, source, filter, replacement and validation as one plan; batches and streams alike."""
+    return finish(ent.filter_entities(source(stage1(df))))
+
+
 def anonymize(df: DataFrame, source: Source = ent.source_none) -> DataFrame:
-    """``df`` (seq, text, ...) with stage1_text, captures, the four entity columns, redacted, replaced and status.
+    """``df`` (seq, text, ...) with stage1_text, captures, the four entity columns, redacted, replaced, status and costs.
 
-    Null and blank texts give empty texts and status ``vazio``. Detectors and replacement are narrow; only sources
-    that look entities up shuffle, by record id.
+    Costs are latency_s (the source's time), prompt_tokens and completion_tokens. Null and blank texts give empty texts,
+    status ``vazio`` and no costs. Detectors, replacement, models and small dictionaries are narrow; stored mentions,
+    large dictionaries and models with a limit of length shuffle.
     """
     # Written once: sources read the detectors' text more than once.
     return finish(ent.filter_entities(source(stage(stage1(df)))))

@@ -64,7 +64,8 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     out = np.full(max(0, len(h) - k + 1) if k else 0, k, np.uint64)
     for i in range(k):
         out = out * FACTOR + h[i : len(h) - k + 1 + i]
-    return np.unique(out)
+    out.sort()
+    return out[np.diff(out, prepend=out[:1] ^ np.uint64(1)) != 0]
 
 
 def collections(found: np.ndarray) -> np.ndarray:

@@ -21,8 +21,23 @@ def type_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(t, label, i) for i, (t, label, _) in enumerate(TYPES)], "tipo string, label string, ord int")
 
 
-def gold_arrays(df: DataFrame, key: str = "seq") -> DataFrame:
-    """(seq, gold array<struct<tipo,orig,norm>>): annotation columns split; institutional codes leave the documents."""
+def latest(df: DataFrame, key: str = "seq", version: str | None = None) -> DataFrame:
+    """One row for each key: the one of the greatest ``version``, a null version being the least.
+
+    Ties, and all rows where no version is named, go to the greatest row by its columns, in their order. Rows without key
+    are one key. The columns must be comparable.
+    """
+    others = [c for c in df.columns if c not in (key, version)]
+    order = [F.col(c) for c in ([version] if version else []) + others]
+    best = df.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*order)).alias("__row"))
+    return best.select(*[F.col("__key").alias(c) if c == key else F.col("__row")[c].alias(c) for c in df.columns])
+
+
+def gold_arrays(df: DataFrame, key: str = "seq", version: str | None = None) -> DataFrame:
+    """(seq, gold array<struct<tipo,orig,norm>>): annotation columns split; institutional codes leave the documents.
+
+    A record that is annotated more than once counts once, by its row of the greatest ``version`` (see ``latest``).
+    """
 
     def entries(tipo: str, column: str) -> Column:
         code = F.when if tipo == "documento" else None
@@ -30,7 +45,8 @@ def gold_arrays(df: DataFrame, key: str = "seq") -> DataFrame:
         return F.transform(split_annotation(F.col(column)), lambda x: F.struct(kind(x).alias("tipo"), x["orig"].alias("orig"), x["norm"].alias("norm")))
 
     lists = [entries(tipo, column) for tipo, _, column in TYPES]
-    return df.select(F.col(key).cast("string").alias("seq"), F.concat(*lists).alias("gold"))
+    cells = df.select(F.col(key).cast("string").alias("seq"), *([version] if version else []), *[c for _, _, c in TYPES])
+    return latest(cells, "seq", version).select("seq", F.concat(*lists).alias("gold"))
 
 
 def gold_long(gold: DataFrame) -> DataFrame:

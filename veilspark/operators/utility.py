@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilspark.functions.detectors import Detector, may_hold, stage1
 from veilspark.functions.textnorm import kept_length
 from veilspark.operators.score import ratio, scores_by_type, summary, totals
 
@@ -47,6 +48,23 @@ def tradeoff(utility: DataFrame, bounds: DataFrame, order: list[str]) -> DataFra
     return utility.join(bounds, "config").select(place.alias("ord"), "config", "macro_safety", "safety_low", "safety_high", "retention").where("ord > 0")
 
 
+def replayed(outputs: DataFrame, old: tuple[Detector, ...], new: tuple[Detector, ...]) -> DataFrame:
+    """Stored ``outputs`` (seq, text, captures, ...) as if ``new`` detectors had made their captures instead of ``old``.
+
+    Only texts in which a changed detector can match at all, by its gate, go through the chain again, each once for all
+    configurations that hold it; all others keep what is stored, and so does everything else of the record. Records are
+    told apart by id and text, so repeated and null ids are safe. Stored entities are not looked up again.
+    """
+    changed = tuple(set(old) ^ set(new))
+    mark = lambda df: df.withColumn("__hash", F.xxhash64("text"))
+    touched = mark(outputs.where(may_hold(F.col("text"), changed)).select("seq", "text")).dropDuplicates(["seq", "text"])
+    again = stage1(touched, "text", "__redacted", "__captures", new).select(F.col("seq").alias("__seq"), F.col("__hash").alias("__same"), F.col("text").alias("__text"), "__captures")
+    own = mark(outputs)
+    same = own["seq"].eqNullSafe(again["__seq"]) & (own["__hash"] == again["__same"]) & (own["text"] == again["__text"])
+    kept = [F.coalesce("__captures", "captures").alias("captures") if c == "captures" else own[c] for c in outputs.columns]
+    return own.join(again, same, "left").select(*kept)
+
+
 def replay_table(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row per version of a replayed detector, from the two versions' record stats."""
 
@@ -66,4 +84,4 @@ def replay_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["config", "tipo"]).where("leak_before <> leak_after or fn_before <> fn_after")
 
 
-__all__ = ["retention", "utility_table", "reconcile_points", "reconcile_counts", "tradeoff", "replay_table", "replay_changes", "scores_by_type"]
+__all__ = ["retention", "utility_table", "reconcile_points", "reconcile_counts", "tradeoff", "replayed", "replay_table", "replay_changes", "scores_by_type"]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import csv
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from veilspark.operators.entities import CATS
+from veilspark.operators.entities import CATS, COSTS
+from veilspark.sources.staging import shared_folder, stage
 
 CAPTURES = "map<string,array<string>>"
 OUTPUT = (
@@ -18,19 +19,6 @@ OUTPUT = (
 )
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Writes a step's result as Parquet in the cluster's shared folder and reads it back.
-
-    Later steps neither repeat it, nor plan it again, nor lose it with an executor. Without ``spark.checkpoint.dir``
-    (tests, a laptop) a local folder is used.
-    """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/veilspark"
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def read_corpus(spark: SparkSession, path: str, columns: dict[str, str], schema: str | None = None) -> DataFrame:
     """Columns of a corpus by configured name (ours: theirs); ``.csv`` paths are read with a header, others as Parquet."""
     if path.rstrip("/").endswith(".csv"):
@@ -58,11 +46,10 @@ def config_tag(engine: str, **parts: str) -> str:
 
 def to_rows(outputs: DataFrame) -> DataFrame:
     """Record outputs with captures and entities as JSON."""
-    extra = {"latency_s": "double", "prompt_tokens": "int", "completion_tokens": "int"}
     return outputs.select(
         F.col("seq").cast("string").alias("seq"), "text", "redacted", F.to_json("captures").alias("captures_json"),
         F.to_json(F.struct(*CATS)).alias("entities_json"), "status",
-        *[(F.col(c) if c in outputs.columns else F.lit(None)).cast(t).alias(c) for c, t in extra.items()],
+        *[(F.col(c) if c in outputs.columns else F.lit(None)).cast(t).alias(c) for c, t in COSTS.items()],
     )
 
 
@@ -90,31 +77,75 @@ def read_outputs(spark: SparkSession, path: str, csv: bool = False) -> DataFrame
     return from_rows(spark.read.schema(schema).parquet(path))
 
 
+#: What stands behind a configuration's name in the names of its files. A table that Spark wrote is a folder of that name.
+STEM = r"([^/]+?)(?:_(?:por_tipo|matriz_erros|top_fn))?\.csv(?:/part-[^/]*)?$"
+
+
+def read_by_header(spark: SparkSession, pattern: str, schema: str, sep: str = ",") -> DataFrame:
+    """Text tables with a header each, columns taken by name: any order, extra ones left out, missing ones null.
+
+    ``config`` is the file's stem, unless the schema names a column so that the files have. Files of one header are read
+    together; only headers and file names come to the driver. Files without any line give no rows. Values that don't fit
+    their type become null.
+    """
+    wanted = {f.name: f.dataType.simpleString() for f in spark.createDataFrame([], schema).schema}
+    lines = spark.read.text(pattern).where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("at"))
+    first = lines.groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    parts = None
+    for header, rows in groupby(sorted(first.collect(), key=lambda r: r.header), key=lambda r: r.header):
+        names = next(csv.reader([header], delimiter=sep))
+        as_text = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+        r = spark.read.schema(as_text).option("sep", sep).option("header", True).option("enforceSchema", True).option("multiLine", True).option("escape", '"')
+        df = r.csv([x.path for x in rows])
+        place = {n.strip().lstrip("\ufeff"): f"c{i}" for i, n in reversed(list(enumerate(names)))}
+        value = lambda n, t: (F.col(place[n]).try_cast(t) if n in place else F.lit(None).cast(t)).alias(n)
+        columns = [value(n, t) for n, t in wanted.items() if n != "config" or n in place]
+        config = [] if "config" in wanted and "config" in place else [F.regexp_extract("_metadata.file_path", STEM, 1).alias("config")]
+        df = df.select(*columns, *config)
+        parts = df if parts is None else parts.unionByName(df)
+    return spark.createDataFrame([], schema if "config" in wanted else f"{schema}, config string") if parts is None else parts
+
+
 def read_csv_outputs(spark: SparkSession, pattern: str) -> DataFrame:
-    """Record outputs in one text file per configuration, named by the file's stem."""
-    r = spark.read.schema(OUTPUT).option("sep", ";").option("header", True).option("multiLine", True).option("escape", '"')
-    rows = r.csv(pattern).withColumn("config", F.regexp_extract("_metadata.file_name", r"^(.*)\.csv$", 1))
-    return from_rows(rows)
+    """Record outputs in one text file per configuration, named by the file's stem; columns by their names."""
+    return from_rows(read_by_header(spark, pattern, OUTPUT, ";"))
+
+
+def write_csv(rows: DataFrame, path: str, sep: str = ",") -> None:
+    """A text table with a header at ``path``; parts without rows have none."""
+    rows.write.mode("overwrite").option("sep", sep).option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
-def write_log(outputs: DataFrame, path: str) -> None:
-    """Progress log as JSON lines."""
-    outputs.select("seq", "text", "redacted", "captures", F.struct(*CATS).alias("entities"), "status").write.mode("append").json(path)
+def commit(rows: DataFrame, path: str, batch: str, by: tuple[str, ...] = (), form: str = "parquet") -> None:
+    """Adds ``rows`` under the batch's name, taking the place of what the same batch wrote before.
+
+    Only the partitions (``by`` and batch) that occur in ``rows`` are replaced, in one step at the end, so a job that is
+    retried or run again leaves one copy, and readers never see a half of it. Run a batch again with the same rows.
+    """
+    out = rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    out.partitionBy(*by, "batch").format(form).save(path)
+
+
+def write_log(outputs: DataFrame, path: str, batch: str) -> None:
+    """Progress log as JSON lines, one batch of it; see ``commit``."""
+    extra = [c for c in COSTS if c in outputs.columns]
+    commit(outputs.select("seq", "text", "redacted", "captures", F.struct(*CATS).alias("entities"), "status", *extra), path, batch, form="json")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     entities = ", ".join(f"{c}: array<string>" for c in CATS)
-    return spark.read.schema(f"seq string, text string, redacted string, captures {CAPTURES}, entities struct<{entities}>, status string").json(path)
+    costs = ", ".join(f"{c} {t}" for c, t in COSTS.items())
+    return spark.read.schema(f"seq string, text string, redacted string, captures {CAPTURES}, entities struct<{entities}>, status string, {costs}, batch string").json(path)
 
 
-def append_table(rows: DataFrame, path: str) -> None:
-    """Metric tables: one more batch of rows, partitioned by configuration."""
-    rows.write.mode("append").partitionBy("config").parquet(path)
+def write_table(rows: DataFrame, path: str, batch: str) -> None:
+    """Metric tables: one more batch of rows, partitioned by configuration; see ``commit``."""
+    commit(rows, path, batch, ("config",))
 
 
 def read_frozen(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Frozen metric tables (text with a header); config is the file's stem up to its table name, if it has none itself."""
-    df = spark.read.schema(schema).option("header", True).csv(pattern)
-    if "config" in df.columns:
-        return df
-    return df.withColumn("config", F.regexp_extract("_metadata.file_name", r"^(.*?)_(?:por_tipo|matriz_erros|top_fn)\.csv$", 1))
+    """Frozen metric tables; config is the file's stem up to its table name, if the files have none themselves."""
+    return read_by_header(spark, pattern, schema)
+
+
+__all__ = ["shared_folder", "stage"]
