@@ -623,3 +623,68 @@ def _(s, d):
 @query("replay_before_after")
 def _(s, d):
     return rounded(ut.replay_table(*_replayed(s, d)))
+
+
+_PLATE = tuple(x for x in dt.DETECTORS if x.label == "PLACA")
+_LABELLED = "SELECT seq, label, string_agg(span, '|' ORDER BY code, i) AS spans FROM caps GROUP BY seq, label"
+
+
+@query("replay_override", f"WITH {_NARR_CHAIN}, {_CAPS} {_LABELLED}")
+def _(s, d):
+    """Outputs stored before the plate detector existed, replayed with it: the captures of a run of all detectors."""
+    old = tuple(x for x in dt.DETECTORS if x not in _PLATE)
+    stored = io.stage(dt.stage1(narr(s, d).select("seq", "text"), detectors=old))
+    found = ut.replayed(stored, old, dt.DETECTORS).select("seq", F.explode("captures").alias("label", "found"))
+    return found.select("seq", "label", F.array_join("found", "|").alias("spans"))
+
+
+# Records that are blank, repeated, or written more than once
+
+_BLANKED = "CASE seq % 9 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE text END"
+
+
+@query("anonymize_light", f"WITH {o.chain(f'SELECT seq, text FROM ({nv.NARRATIVES}) WHERE seq % 9 > 1')} SELECT n.seq, coalesce(t, '') AS redacted, CASE WHEN n.seq % 9 > 1 THEN 'ok' ELSE 'vazio' END AS status, 0::INTEGER AS tokens FROM ({nv.NARRATIVES}) n LEFT JOIN s1 ON s1.seq = n.seq")
+def _(s, d):
+    """The record pipeline's detectors-only preset; some records are blank or null."""
+    some = narr(s, d).select("seq", F.expr(_BLANKED).alias("text"))
+    out = job.anonymize(some, job.PRESETS["light"]())
+    return out.select("seq", "redacted", "status", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+
+
+@query("gold_latest", f"WITH {_GOLD} SELECT CAST(seq AS VARCHAR) AS seq, tipo, orig, norm FROM gold")
+def _(s, d):
+    """Records annotated twice: only the newer annotation counts."""
+    new = narr(s, d).withColumn("version", F.lit(2))
+    old = new.withColumns({"nomes": F.lit("Outra Pessoa"), "version": F.lit(1)})
+    return sc.gold_long(sc.gold_arrays(old.unionByName(new), version="version"))
+
+
+@query("log_rerun", f"WITH {_RUNS} SELECT CAST(seq AS VARCHAR) AS seq, status, CAST(CASE WHEN seq % 2 = 0 THEN 'even' ELSE 'odd' END AS VARCHAR) AS batch FROM runs")
+def _(s, d):
+    """A progress log of two batches, the first of which is run again."""
+    rows = _run_rows(s, d).select(
+        F.col("seq").cast("string").alias("seq"), F.lit("x").alias("text"), F.lit("x").alias("redacted"), F.create_map().cast(io.CAPTURES).alias("captures"),
+        *[ent.no_entities().alias(c) for c in ent.CATS], "status", (F.col("seq") % 2 == 0).alias("even"),
+    )
+    path = io.shared_folder(s)
+    for batch in ("even", "odd", "even"):
+        io.write_log(rows.where(F.col("even") == (batch == "even")).drop("even"), path, batch)
+    return io.read_log(s, path).select("seq", "status", "batch")
+
+
+@query("table_rerun", f"WITH {_RUNS} SELECT config, status, count(*) AS n FROM runs GROUP BY ALL")
+def _(s, d):
+    """A metric table whose batch is written twice."""
+    path, rows = io.shared_folder(s), job.status_counts(_run_rows(s, d))
+    for _ in range(2):
+        io.write_table(rows, path, "first")
+    return s.read.parquet(path).select("config", "status", "n")
+
+
+@query("frozen_tables", f"WITH {_STATS} SELECT config, tipo, CAST(tp AS BIGINT) AS tp, CASE WHEN config <> 'union' THEN CAST(fn AS BIGINT) END AS fn, CASE WHEN config <> 'regex_only' THEN CAST(fp AS BIGINT) END AS fp FROM sums")
+def _(s, d):
+    """Tables by type as text files, one for each configuration, whose headers differ in order and columns."""
+    t, path = io.stage(sums(s, d)), io.shared_folder(s)
+    for config, columns in {"regex_only": ["tipo", "tp", "fn"], "gazetteer": ["fp", "fn", "gold", "tp", "tipo"], "union": ["tp", "fp", "tipo"]}.items():
+        io.write_csv(t.where(F.col("config") == config).select(columns), f"{path}/{config}_por_tipo.csv")
+    return io.read_frozen(s, f"{path}/*_por_tipo.csv", "tipo string, tp long, fn long, fp long")

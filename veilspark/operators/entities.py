@@ -147,6 +147,11 @@ def _with_lists(df: DataFrame, terms: DataFrame, text: str, most: int) -> DataFr
     return rows.join(found, "__row", "left").select(*df.columns, *[F.coalesce(f"__{c}", none).alias(f"__{c}") for c in CATS])
 
 
+def _named(category: str) -> Column:
+    """The hits of one category as array<struct<category,idx,entity>>."""
+    return F.transform(f"__{category}", lambda x: F.struct(F.lit(category).alias("category"), x["idx"].alias("idx"), x["entity"].alias("entity")))
+
+
 def gazetteer_hits(df: DataFrame, terms: DataFrame, text: str, key: str = "seq", most: int = 3) -> DataFrame:
     """(key, category, idx, entity): dictionary terms (category, term) of up to ``most`` words that stand in the text.
 
@@ -154,7 +159,7 @@ def gazetteer_hits(df: DataFrame, terms: DataFrame, text: str, key: str = "seq",
     are safe; null texts hold nothing.
     """
     found = _with_lists(df.select(key, text), terms, text, most)
-    each = F.explode(F.concat(*[F.transform(f"__{c}", lambda x, c=c: F.struct(F.lit(c).alias("category"), x["idx"].alias("idx"), x["entity"].alias("entity"))) for c in CATS]))
+    each = F.explode(F.concat(*[_named(c) for c in CATS]))
     return found.select(key, each.alias("x")).select(key, "x.category", "x.idx", "x.entity")
 
 
@@ -191,6 +196,10 @@ def _model_column(load: Callable[[], Model], text: Column) -> Column:
     return ask(text)
 
 
+def _total(values: Column, kind: str) -> Column:
+    return F.aggregate(values, F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind))
+
+
 def source_model(df: DataFrame, load: Callable[[], Model], text: str = "stage1_text", limit: int | None = None) -> DataFrame:
     """Adds entities and costs (latency_s, prompt_tokens, completion_tokens) from a user's batch model.
 
@@ -212,8 +221,9 @@ def source_model(df: DataFrame, load: Callable[[], Model], text: str = "stage1_t
     # Written: the model's answers are asked for once.
     asked = stage(blocks.repartition(parts).withColumn("__got", _model_column(load, F.col("__text"))).select("__row", "__block", "__got"))
     got = asked.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__block", "__got"))).alias("__all"))
-    lists = [F.flatten(F.transform("__all", lambda x, c=c: x["__got"][c])).alias(c) for c in CATS]
-    sums = [F.aggregate("__all", F.lit(0).cast(t), lambda a, x, c=c, t=t: (a + x["__got"][c]).cast(t)).alias(c) for c, t in COSTS.items()]
+    of_blocks = lambda c: F.transform("__all", lambda x: x["__got"][c])
+    lists = [F.flatten(of_blocks(c)).alias(c) for c in CATS]
+    sums = [_total(of_blocks(c), t).alias(c) for c, t in COSTS.items()]
     joined = rows.join(got.select("__row", *lists, *sums), "__row", "left")
     zero = {c: F.lit(0).cast(t) for c, t in COSTS.items()}
     return joined.select(*own, *[F.coalesce(c, no_entities()).alias(c) for c in CATS], *[F.coalesce(c, zero[c]).alias(c) for c in COSTS])

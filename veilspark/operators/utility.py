@@ -53,9 +53,12 @@ def replayed(outputs: DataFrame, old: tuple[Detector, ...], new: tuple[Detector,
 
     Only texts in which a changed detector can match at all, by its gate, go through the chain again, each once for all
     configurations that hold it; all others keep what is stored, and so does everything else of the record. Records are
-    told apart by id and text, so repeated and null ids are safe. Stored entities are not looked up again.
+    told apart by id and text, so repeated and null ids are safe. Stored entities are not looked up again. If detectors
+    that both lists have change their order, all of them count as changed.
     """
-    changed = tuple(set(old) ^ set(new))
+    both = set(old) & set(new)
+    moved = [d for d in old if d in both] != [d for d in new if d in both]
+    changed = tuple(set(old) | set(new)) if moved else tuple(set(old) ^ set(new))
     mark = lambda df: df.withColumn("__hash", F.xxhash64("text"))
     touched = mark(outputs.where(may_hold(F.col("text"), changed)).select("seq", "text")).dropDuplicates(["seq", "text"])
     again = stage1(touched, "text", "__redacted", "__captures", new).select(F.col("seq").alias("__seq"), F.col("__hash").alias("__same"), F.col("text").alias("__text"), "__captures")
