@@ -37,15 +37,36 @@ class DigestIndex:
     """A table (digest, keep_id, group_size, batch) at ``path``, bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        """``path``: an existing or new folder that all executors share; ``buckets`` is fixed when it is made."""
+        """``path``: an existing or new folder that all executors share.
+
+        ``buckets`` is fixed when the index is made and kept with it; an index that is opened again has its own number,
+        whatever the session's settings. Asking for another one is an error.
+        """
         self.spark, self.path = spark, path or shared_dir(spark)
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self._bucket_count(buckets)
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'"
         )
 
+    def _bucket_count(self, wanted: int | None) -> int:
+        """The number of buckets that stands beside the files, in a hidden folder that no scan of the table reads."""
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        note = hadoop.Path(f"{self.path}/_buckets")
+        if note.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(note):
+            kept = int(self.spark.read.text(note.toString()).first().value)
+            if wanted and wanted != kept:
+                raise ValueError(f"the index at {self.path} has {kept} buckets, not {wanted}")
+            return kept
+        here = hadoop.Path(self.path)
+        files = here.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if files.exists(here) and len(files.listStatus(here)):
+            raise ValueError(f"{self.path} holds files but no number of buckets: not an index, or one from before the number was kept")
+        made = wanted or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.spark.range(1).select(F.lit(str(made)).alias("value")).coalesce(1).write.mode("overwrite").text(note.toString())
+        return made
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
