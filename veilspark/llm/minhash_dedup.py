@@ -29,7 +29,7 @@ SEED = 42
 #: Shingles that are multiplied by all factors at a time.
 CHUNK = 1 << 9
 #: Each round has so many times the heads of the one before.
-GROWTH = 8
+GROWTH = 16
 #: Ids up to which a set of documents is sent to every executor (8 MB).
 FEW = 1 << 20
 #: Words whose hashes a worker keeps.
@@ -72,7 +72,7 @@ def collections(found: np.ndarray) -> np.ndarray:
     """Two rows of ``COLLECTION`` signed keys, each a hash of its number and ``WIDTH`` minima."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), CHUNK):
-        np.minimum(least, (found[at : at + CHUNK, None] * FACTORS + TERMS).min(axis=0), out=least)
+        np.minimum(least, (FACTORS[:, None] * found[at : at + CHUNK] + TERMS[:, None]).min(axis=1), out=least)
     keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(-1, WIDTH))]
     return np.array(keys, np.uint64).view(np.int64).reshape(2, COLLECTION)
 
@@ -95,9 +95,29 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def table_keys(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n): a row for each pair of a key of the first collection and one of the second."""
+    """(key, set_id, n): a row for each pair of a key of the first collection and one of the second.
+
+    A table key can only be shared if both of its parts are, so parts that a single set has are left out before pairing:
+    24 rows a set are shuffled instead of 144.
+    """
+    half = F.size("a")
+    parts = sets.select("set_id", "n", half.alias("half"), F.posexplode(F.concat("a", "b")).alias("at", "part"))
+    shared = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1").select("part")
+    live = parts.join(shared, "part").groupBy("set_id", "n")
+    live = live.agg(F.collect_list(F.when(F.expr("at < half"), F.col("part"))).alias("a"), F.collect_list(F.when(F.expr("at >= half"), F.col("part"))).alias("b"))
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return sets.select(F.explode(pairs).alias("key"), "set_id", "n")
+    return live.select(F.explode(pairs).alias("key"), "set_id", "n")
+
+
+def buckets(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (key, set_id, n) in buckets of several members; of buckets with the same members, one is kept.
+
+    Members are compared by their number and 128 bits of hashes, which add up before the shuffle in any order.
+    """
+    salted = F.xxhash64("set_id", F.lit("second"))
+    of = keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(salted).alias("y"))
+    kept = of.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    return keyed.join(kept, "key")
 
 
 def whole_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -123,9 +143,22 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> Data
     return pairs.join(x, "a").join(y, "b").where(100 * both >= similar * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(v, root) after more links (a, b). Only the links are contracted, between the roots that there are so far."""
+    if roots is None:
+        return materialize(connected_components(links))
+    at = [roots.select(F.col("v").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab"]
+    between = links.join(at[0], "a", "left").join(at[1], "b", "left")
+    between = between.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    moved = connected_components(between)
+    to = moved.select(F.col("v").alias("old"), F.col("root").alias("new"))
+    known = roots.join(to, F.col("root") == F.col("old"), "left").select("v", F.coalesce("new", "root").alias("root"))
+    return materialize(known.unionByName(moved.join(roots, "v", "left_anti")))
+
+
 def linked(members: DataFrame, fetch, similar: int = SIMILAR) -> DataFrame:
     """(v, root) of the sets in ``members`` (key, set_id, n) that have links. ``fetch``: wanted set ids -> whole sets."""
-    sets, links, roots, tried, heads = None, None, None, None, 1
+    sets, roots, tried, heads = None, None, None, 1
     members = members.withColumn("root", F.col("set_id"))
     while True:
         of = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("set_id").alias("first"), F.count("*").alias("size"))
@@ -148,8 +181,8 @@ def linked(members: DataFrame, fetch, similar: int = SIMILAR) -> DataFrame:
         pairs = materialize(pairs)
         found = materialize(confirmed(pairs, sets, similar))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = materialize(connected_components(links))
+        if roots is None or not found.isEmpty():
+            roots = joined(roots, found)
         members = open_.where("not head").select("key", "set_id", "n")
         members = members.join(roots, F.col("set_id") == F.col("v"), "left").select("key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
         members = materialize(members)
@@ -167,9 +200,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -
     signed = materialize(signatures(docs, k))
     some = signed.where("n > 0")
     sets = materialize(some.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("n", "a", "b")).alias("s")).select("set_id", "first_id", "s.*"))
-    keyed = table_keys(sets.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "set_id"))
-    shared = materialize(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"))
-    members = materialize(keyed.join(shared, "key"))
+    members = materialize(buckets(materialize(table_keys(sets))))
     roots = linked(members, lambda wanted: whole_sets(docs, signed, wanted, k), similar)
     rooted = materialize(sets.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
