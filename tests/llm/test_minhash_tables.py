@@ -2,6 +2,7 @@
 
 from itertools import product
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from veilspark.llm import minhash_dedup as m
@@ -36,3 +37,30 @@ def test_later_links_join_roots(spark):
 def test_no_tables(spark):
     none = spark.createDataFrame([], "set_id long, n long, a array<long>, b array<long>")
     assert m.buckets(m.table_keys(none)).isEmpty()
+
+
+def test_bitmaps_never_pass_over_a_link():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 9, 40, 300, 3000):
+        for _ in range(60):
+            x = np.unique(rng.integers(0, 1 << 63, 2 * n, np.uint64))
+            both = rng.integers(0, n + 1)
+            a, b = x[:n], x[n - both : 2 * n - both]
+            apart = int(np.bitwise_count((m.parity(a) ^ m.parity(b)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(a, b))
+
+
+def test_unlike_members_of_a_bucket_give_no_rows(spark, monkeypatch):
+    """A bucket of 60 sets, each pair at a similarity of a half, and two links: only the links reach the whole sets."""
+    common = [f"c{i}" for i in range(100)]
+    texts = [" ".join(common + [f"u{s}x{i}" for i in range(50)]) for s in range(60)]
+    texts += [texts[3] + " fim", texts[7] + " fim"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "set_id long, text string")
+    sets = m.found_sets(rows)
+    assert sets.count() == len(texts)
+    seen, confirmed = [], m.confirmed
+    monkeypatch.setattr(m, "confirmed", lambda pairs, *more: seen.extend(map(tuple, pairs.collect())) or confirmed(pairs, *more))
+    members = sets.select(F.lit(1).cast("long").alias("key"), "set_id", F.size("found").cast("long").alias("n"))
+    roots = {r.v: r.root for r in m.linked(members, lambda wanted: sets).collect()}
+    assert roots[3] == roots[60] and roots[7] == roots[61] and len(set(roots.values())) == 2
+    assert sorted(seen) == [(3, 60), (7, 61)]

@@ -8,14 +8,22 @@ Equal sets are one from the start. Tables then settle in rounds. In each, a few
 its members that are in another component so far; full sets decide. Links are contracted to components, heads that are
 done leave, and a bucket is over when its members are of one component. So a bucket of thousands of copies costs one pass
 from one head, and no link between members of a bucket is lost.
+
+Members that cannot be linked are passed over inside the join that lets them meet: a set has a parity bitmap, in which each
+of its shingles flips one bit. Two bitmaps differ in no more bits than the sets differ in shingles, and linked sets differ
+in at most a ninth of their sizes' sum. So what is passed over is never a link, and mutually unlike members of a large
+bucket give no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import as_bytes, map_batches, materialize
@@ -30,6 +38,8 @@ SEED = 42
 CHUNK = 1 << 9
 #: Each round has so many times the heads of the one before.
 GROWTH = 16
+#: 64-bit words of a set's parity bitmap.
+PARITY = 16
 #: Ids up to which a set of documents is sent to every executor (8 MB).
 FEW = 1 << 20
 #: Words whose hashes a worker keeps.
@@ -68,6 +78,24 @@ def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
     return out[np.diff(out, prepend=out[:1] ^ np.uint64(1)) != 0]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """The set's bitmap, ``PARITY`` signed words: a bit is 1 if an odd number of its shingles fall on it."""
+    # The upper bits of a product depend on all bits of a shingle's hash.
+    at = (found * FACTOR) >> np.uint64(64 - (64 * PARITY).bit_length() + 1)
+    bits = np.bincount(at.astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8")
+
+
+def may_link(similar: int = SIMILAR) -> Column:
+    """False only for rows (n, p0, p1, ...; m, q0, q1, ...) whose sets of sizes n and m cannot be linked.
+
+    A link has 100 * (n + m - d) >= similar * (n + m + d), where d shingles are in one of the sets only.
+    """
+    apart = reduce(add, [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(PARITY)])
+    sizes = 100 * F.least("n", "m") >= similar * F.greatest("n", "m")
+    return sizes & ((100 + similar) * apart <= (100 - similar) * (F.col("n") + F.col("m")))
+
+
 def collections(found: np.ndarray) -> np.ndarray:
     """Two rows of ``COLLECTION`` signed keys, each a hash of its number and ``WIDTH`` minima."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
@@ -121,18 +149,25 @@ def buckets(keyed: DataFrame) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(set_id, found): the shingle hashes of the sets in ``wanted`` (set_id), each from one text that has it."""
+    """(set_id, found, p0, p1, ...): shingle hashes and bitmap of the sets in ``wanted`` (set_id), each from one text that has it."""
     wanted = materialize(wanted)
     texts = signed.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "set_id", "left_semi")
     texts = materialize(texts.groupBy("set_id").agg(F.min(F.struct("text_id", "doc_id")).alias("t")).select("set_id", "t.*"))
     named = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("h"))
     same = (F.col("h") == F.col("text_id")) & F.col("d").eqNullSafe(F.col("doc_id"))
-    rows = named.join(F.broadcast(texts) if texts.count() <= FEW else texts, same).select("set_id", "text")
+    return found_sets(named.join(F.broadcast(texts) if texts.count() <= FEW else texts, same), k)
+
+
+def found_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """(set_id, found, p0, p1, ...), one row for each set id of ``texts`` (set_id, text): shingle hashes and bitmap."""
 
     def run(batch: pa.RecordBatch):
-        yield {"set_id": batch.column(0), "found": [shingles(t, k).view(np.int64) for t in as_bytes(batch.column(1))]}
+        found = [shingles(t, k) for t in as_bytes(batch.column(1))]
+        marks = np.array([parity(x) for x in found], np.int64).reshape(len(found), PARITY)
+        yield {"set_id": batch.column(0), "found": [x.view(np.int64) for x in found]} | {f"p{i}": marks[:, i] for i in range(PARITY)}
 
-    return materialize(map_batches(rows, run, "set_id long, found array<long>").dropDuplicates(["set_id"]))
+    schema = ", ".join(["set_id long, found array<long>", *[f"p{i} long" for i in range(PARITY)]])
+    return materialize(map_batches(texts.select("set_id", "text"), run, schema).dropDuplicates(["set_id"]))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: int = SIMILAR) -> DataFrame:
@@ -156,10 +191,19 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(known.unionByName(moved.join(roots, "v", "left_anti")))
 
 
-def linked(members: DataFrame, fetch, similar: int = SIMILAR) -> DataFrame:
-    """(v, root) of the sets in ``members`` (key, set_id, n) that have links. ``fetch``: wanted set ids -> whole sets."""
-    sets, roots, tried, heads = None, None, None, 1
-    members = members.withColumn("root", F.col("set_id"))
+def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    own = F.coalesce("root", "set_id").alias("root")
+    return materialize(members.join(roots, F.col("set_id") == F.col("v"), "left").select("key", "set_id", "n", own))
+
+
+def linked(members: DataFrame, fetch, similar: int = SIMILAR, roots: DataFrame | None = None) -> DataFrame:
+    """(v, root) of the sets in ``members`` (key, set_id, n) that have links. ``fetch``: wanted set ids -> whole sets.
+
+    ``roots`` (v, root): links that are known before.
+    """
+    sets, tried, heads = None, None, 1
+    marks = [f"p{i}" for i in range(PARITY)]
+    members = members.withColumn("root", F.col("set_id")) if roots is None else with_roots(members, roots)
     while True:
         of = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("set_id").alias("first"), F.count("*").alias("size"))
         # Buckets of several components.
@@ -172,9 +216,9 @@ def linked(members: DataFrame, fetch, similar: int = SIMILAR) -> DataFrame:
         share = F.pmod(F.xxhash64("set_id"), F.lit(1 << 20)) / (1 << 20)
         is_head = (F.col("set_id") == F.col("first")) if heads == 1 else (share * F.col("size") < heads)
         open_ = open_.withColumn("head", is_head)
-        h = open_.where("head").select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"))
-        met = open_.join(h, "key").where("root <> other and not (head and set_id < a)")
-        met = met.where((100 * F.least("n", "m") >= similar * F.greatest("n", "m")))
+        marked = open_.join(sets.select("set_id", *marks), "set_id")
+        h = marked.where("head").select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col(c).alias(f"q{c[1:]}") for c in marks])
+        met = marked.join(h, "key").where("root <> other and not (head and set_id < a)").where(may_link(similar))
         pairs = met.select(F.least("a", "set_id").alias("a"), F.greatest("a", "set_id").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -183,9 +227,7 @@ def linked(members: DataFrame, fetch, similar: int = SIMILAR) -> DataFrame:
         tried = pairs if tried is None else tried.unionByName(pairs)
         if roots is None or not found.isEmpty():
             roots = joined(roots, found)
-        members = open_.where("not head").select("key", "set_id", "n")
-        members = members.join(roots, F.col("set_id") == F.col("v"), "left").select("key", "set_id", "n", F.coalesce("root", "set_id").alias("root"))
-        members = materialize(members)
+        members = with_roots(open_.where("not head").select("key", "set_id", "n"), roots)
         heads *= GROWTH
 
 
