@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles agree by 0.8 or more."""
+    """One document of each group whose five-word shingles agree by 0.8 or more: SimHash links, then MinHash bands."""
     return near_copies.one_of_each(docs)
 
 

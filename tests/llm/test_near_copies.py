@@ -57,3 +57,19 @@ def test_recall_of_the_bands():
             a, b = np.sort(x[:n]), np.sort(x[n - both : 2 * n - both])
             hit[similarity] += bool((near_copies.bands(a) == near_copies.bands(b)).any())
     assert hit[0.8] >= 148 and hit[0.9] == 150
+
+
+def test_fingerprints_link_before_bands(spark, monkeypatch):
+    """The nearest copies are linked by SimHash alone, and a pair that it finds is no link unless the sets are similar."""
+    from veilspark.llm.minhash_dedup import shingles
+
+    words = [f"w{x}" for x in np.random.default_rng(8).integers(0, 10_000, 3000)]
+    texts = [" ".join(words), " ".join([*words, "fim"]), " ".join(words[::-1])]
+    monkeypatch.setattr(near_copies, "bands", lambda found: np.zeros(0, np.int64))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == {0, 2}
+    rows = docs.withColumnRenamed("doc_id", near_copies.ROW)
+    got = {r.row: r for r in near_copies.signatures(rows).collect()}
+    assert [got[i].fp for i in range(3)] == [near_copies.of_set(shingles(t.encode(), 5)) for t in texts]
+    monkeypatch.setattr(near_copies, "of_set", lambda found: 7)
+    assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == {0, 2}

@@ -1,9 +1,10 @@
-"""Near copies by word shingles: MinHash bands find candidates, exact shingle sets decide.
+"""Near copies by word shingles: SimHash tables link first, MinHash bands find what is left, exact shingle sets decide.
 
-Pairs of a Jaccard similarity of 0.8 differ by about ten of 64 SimHash bits. A multi-index over that radius would need
-segments so short that buckets grow with the corpus; so candidates come from bands of minima instead, and a pair is
-linked only if its real similarity reaches the threshold. Equal shingle sets are one from the start. Within a bucket
-every member is compared to the smallest one; only members that fail are compared to all others.
+SimHash fingerprints within two bits are found by operator 10's tables, and such a pair is a link if its sets are
+similar. Those are the nearest copies, in linear size. Pairs of a Jaccard similarity of 0.8 differ by about ten of 64 bits,
+a radius for which segments would be so short that table entries grow with the corpus. So bands of minima find the pairs
+between the components that SimHash leaves, a few heads of a bucket at a time, as in operator 11. Equal sets are one from
+the start.
 """
 
 from __future__ import annotations
@@ -15,9 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspark.llm.common import ROW, as_bytes, keyed, map_batches, materialize
-from veilspark.llm.components import connected_components
+from veilspark.llm.minhash_dedup import buckets, confirmed, found_sets, joined, linked, shingles
+from veilspark.llm.simhash_dedup import linked_fingerprints, of_set
 
-SHINGLE, SIMILAR = 5, 0.8
+#: Words of a shingle; links have 100 * intersection >= SIMILAR * union.
+SHINGLE, SIMILAR = 5, 80
 #: A pair at the threshold shares no band once in 2,800 times, one at 0.85 once in 40,000.
 BANDS, WIDTH = 20, 5
 SEED = 42
@@ -27,19 +30,6 @@ FACTORS = _random.integers(0, 1 << 63, BANDS * WIDTH, np.uint64) * np.uint64(2)
 TERMS = _random.integers(0, 1 << 63, BANDS * WIDTH, np.uint64)
 
 
-def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the text's k-word shingles; a shorter text is one shingle, one without words has none."""
-    words = text.lower().split()
-    cut = map(b" ".join, zip(*(words[i:] for i in range(k)))) if len(words) >= k else iter([b" ".join(words)] if words else [])
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(s, SEED) for s in cut), np.uint64))
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both)
-
-
 def bands(found: np.ndarray) -> np.ndarray:
     """``BANDS`` signed longs; one for each group of minima."""
     least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
@@ -49,55 +39,47 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def signatures(rows: DataFrame) -> DataFrame:
-    """(row, set_id, bands): ``set_id`` is the hash of the text's shingle set. Null text counts as empty."""
+    """(row, set_id, n, fp, bands): hash, size, fingerprint and bands of the text's shingle set. Null text counts as empty."""
 
     def run(batch: pa.RecordBatch):
-        out: dict[str, list] = {"row": batch.column(0), "set_id": [], "bands": []}
+        out: dict[str, list] = {"row": batch.column(0), "set_id": [], "n": [], "fp": [], "bands": []}
         for text in as_bytes(batch.column(1)):
-            found = shingles(text)
+            found = shingles(text, SHINGLE)
             out["set_id"].append(int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).view(np.int64)))
+            out["n"].append(len(found))
+            out["fp"].append(of_set(found))
             out["bands"].append(bands(found).tolist() if len(found) else [])
         yield out
 
-    return map_batches(rows.select(F.col(ROW), "text"), run, "row long, set_id long, bands array<long>")
-
+    return map_batches(rows.select(F.col(ROW), "text"), run, "row long, set_id long, n long, fp long, bands array<long>")
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, ok) of distinct pairs of set ids: whether the shingle sets are similar. ``texts``: set_id, text."""
-    first = pairs.join(texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def run(batch: pa.RecordBatch):
-        ok, known = [], (None, None)
-        for a, b in zip(as_bytes(batch.column(2)), as_bytes(batch.column(3))):
-            if a != known[0]:
-                known = a, shingles(a)
-            ok.append(jaccard(known[1], shingles(b)) >= SIMILAR)
-        yield {"a": batch.column(0), "b": batch.column(1), "ok": ok}
+def fingerprint_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of set ids that SimHash finds: fingerprints within two bits, by their tables; linear in number.
 
-    return materialize(map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long, ok boolean"))
+    Each set is paired with the smallest one of its fingerprint, and those with each other.
+    """
+    own = sets.where("n > 0").select("set_id", "fp")
+    first = materialize(own.groupBy("fp").agg(F.min("set_id").alias("first")))
+    pairs = own.join(first, "fp").where("set_id <> first").select(F.col("first").alias("a"), F.col("set_id").alias("b"))
+    near = linked_fingerprints(first.select("fp"))
+    at = [first.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab"]
+    near = near.join(at[0], "a").join(at[1], "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return materialize(pairs.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def groups(rows: DataFrame) -> DataFrame:
     """(row, root): rows of one root are linked by pairs of similar shingle sets."""
     signed = materialize(signatures(rows))
-    sets = signed.groupBy("set_id").agg(F.min(F.struct("row", "bands")).alias("first"))
-    sets = materialize(sets.select("set_id", "first.row", "first.bands"))
-    banded = sets.select("set_id", F.posexplode("bands").alias("band", "key"))
-    heads = banded.groupBy("band", "key").agg(F.min("set_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    heads = materialize(heads.select("band", "key", "head"))
-    members = materialize(banded.join(heads, ["band", "key"]))
-    pairs = materialize(members.where("set_id <> head").select(F.col("head").alias("a"), F.col("set_id").alias("b")).distinct())
-    shared = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    texts = materialize(rows.join(sets.join(shared, "set_id").select("set_id", F.col("row").alias(ROW)), ROW).select("set_id", "text"))
-    judged = similar(pairs, texts)
-    links = judged.where("ok").select("a", "b")
-    failed = judged.where("not ok").select(F.col("a").alias("head"), F.col("b").alias("set_id"))
-    left = materialize(members.join(failed, ["head", "set_id"]).select("band", "key", F.col("set_id").alias("x")))
-    rest = left.join(members.where("set_id <> head"), ["band", "key"]).where("x <> set_id")
-    rest = materialize(rest.select(F.least("x", "set_id").alias("a"), F.greatest("x", "set_id").alias("b")).distinct())
-    links = links.union(similar(rest, texts).where("ok").select("a", "b"))
-    roots = connected_components(links)
+    sets = signed.groupBy("set_id").agg(F.min(F.struct("row", "n", "fp", "bands")).alias("first"))
+    sets = materialize(sets.select("set_id", "first.*"))
+    pairs = fingerprint_pairs(sets)
+    members = materialize(buckets(sets.select(F.explode("bands").alias("key"), "set_id", "n")))
+    wanted = members.select("set_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    first = materialize(sets.join(wanted, "set_id").select("set_id", F.col("row").alias(ROW)))
+    found = found_sets(rows.join(first, ROW), SHINGLE)
+    known = joined(None, confirmed(pairs, found, SIMILAR))
+    roots = linked(members, lambda _: found, SIMILAR, known)
     return signed.join(roots, F.col("set_id") == F.col("v"), "left").select("row", F.coalesce("root", "set_id").alias("root"))
 
 

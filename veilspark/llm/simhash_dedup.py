@@ -44,6 +44,12 @@ def fingerprint(text: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def of_set(found: np.ndarray) -> int:
+    """Signed SimHash of a set of 64-bit hashes: a bit is 1 if it is set in over half of them."""
+    bits = np.unpackbits(found.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(found), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long. Null text counts as empty."""
 
