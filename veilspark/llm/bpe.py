@@ -197,7 +197,8 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
     spelt = lambda b: iter([{"word": _listed([w or b"" for w in as_bytes(b.column(0))])}])
     # The few files of counts are dealt anew, as folding is the work.
     chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    known = map_batches(chosen, spelt, "word array<smallint>")
+    # Written: each new plan of a query with a shuffle would be described with the whole literal of ranks, in the driver.
+    known = materialize(map_batches(chosen, spelt, "word array<smallint>"))
     folded = known.select("word", fold_word(F.col("word"), ranks, pair_literal(ranks)).cast("array<int>").alias("ids"))
 
     def block(batch: pa.RecordBatch):
