@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding with a given rank file.
 
-The ranked merges are a fold of Spark's higher-order functions over the byte arrays of distinct words, with the rank map
-as a literal: pairs of ids in short lists, addressed by a hash of the pair, so that a look-up costs a few comparisons.
+The ranked merges are a fold of Spark's higher-order functions over the bounds of a word's parts. Beside each word goes a
+table of the ranks of its own substrings, so that the rank of two neighbours is one look-up by their bounds, and no plan
+holds the rank file.
 
 1. Texts are cut by the vocabulary's pattern, and for every distinct word of the corpus the documents that hold it are
    counted (partial sums before the shuffle).
 2. The words of most documents, at most ``DICTIONARY_WORDS`` of them (a histogram of counts finds the limit), are folded
-   once each; this bounded dictionary and the rank file's own words are sent to the executors.
-3. Texts are cut again. Known words become ids at once; the few others travel beside the document as a list of distinct
-   words, are folded there by the same expression, and fill their places. Nothing is shuffled by document, and the
-   result doesn't depend on which words the dictionary holds. A word of one document is folded once in any case.
+   once each; this bounded dictionary and the rank file are sent to the executors.
+3. Texts are cut again. Known words become ids at once; the tables of the few others travel beside the document, are
+   folded there by the same expression, and their ids fill the gaps. Nothing is shuffled by document, and the result
+   doesn't depend on which words the dictionary holds. A word of one document is folded once in any case.
 
 Decoding concatenates the binary pieces of the ids: one gather from the table of pieces, document by document.
 """
@@ -17,14 +18,11 @@ Decoding concatenates the binary pieces of the ids: one gather from the table of
 from __future__ import annotations
 
 import base64
-import json
 import math
 import re
-import struct
 import sys
 import unicodedata
-from collections import Counter
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -38,9 +36,45 @@ from veilspark.llm.common import as_bytes, map_batches, materialize
 #: Bounds of the dictionary that is sent to the executors: words, and the bytes of a word in it.
 DICTIONARY_WORDS = 1 << 19
 DICTIONARY_BYTES = 64
-SLOTS = 65_521
-#: A pair of ids is one number: the left id in front of so many bits.
+#: A pair of parts is one number: its rank in front of so many bits, which hold the bound between the parts.
 SHIFT = 31
+#: The pattern that is also cut in arrays of characters, all texts of a portion at a time.
+CONTRACTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+OTHER, LETTER, NUMBER, SPACE = range(4)
+
+
+@lru_cache(maxsize=1)
+def kinds() -> np.ndarray:
+    """Of each code point, whether it is in \\p{L}, \\p{N}, \\s or none of them."""
+    out = np.zeros(sys.maxunicode + 1, np.uint8)
+    major = np.array([unicodedata.category(chr(c))[0] for c in range(len(out))])
+    out[major == "L"], out[major == "N"] = LETTER, NUMBER
+    # White_Space is str.isspace() without the four information separators.
+    out[[c for c in range(len(out)) if chr(c).isspace() and not 0x1C <= c <= 0x1F]] = SPACE
+    return out
+
+
+def starts_of_pieces(chars: np.ndarray, text_ends: np.ndarray) -> np.ndarray:
+    """Where the pieces of ``CONTRACTED`` start in the code points of texts that end at ``text_ends``."""
+    n = len(chars)
+    kind = kinds()[chars]
+    first = np.zeros(n + 1, bool)
+    first[np.r_[0, text_ends]] = True
+    start = first[:n].copy()
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last of white space before something else is on its own, or a blank in front of that.
+    last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~first[1:n])
+    start[last] = True
+    start[last + 1] = chars[last] != ord(" ")
+    # A piece that starts with an apostrophe and a letter is a contraction or the apostrophe alone.
+    at = np.flatnonzero((chars[:-1] == ord("'")) & start[:-1] & (kind[1:] == LETTER) & ~first[1:n])
+    x, y = chars[at + 1], np.where(first[at + 2], 0, chars[np.minimum(at + 2, n - 1)])
+    one = np.isin(x, [ord(c) for c in "stmd"])
+    two = (np.isin(x, [ord("r"), ord("v")]) & (y == ord("e"))) | ((x == ord("l")) & (y == ord("l")))
+    start[at[one | two] + 1] = False
+    after = np.r_[at[one] + 2, at[two] + 3]
+    start[after[after < n]] = True
+    return np.flatnonzero(start)
 
 
 class Splitter:
@@ -50,12 +84,44 @@ class Splitter:
     """
 
     def __init__(self, pattern: str):
+        self.pattern = pattern
         self.beyond = re.compile("[\U00010000-\U0010ffff]").search
-        self.basic, self.full = (_compiled(pattern, top).findall for top in (0xFFFF, sys.maxunicode))
+
+    @cached_property
+    def basic(self):
+        return _compiled(self.pattern, 0xFFFF).findall
+
+    @cached_property
+    def full(self):
+        return _compiled(self.pattern, sys.maxunicode).findall
 
     def findall(self, text: str) -> list[str]:
         return (self.basic if text.isascii() or not self.beyond(text) else self.full)(text)
 
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of all texts (no nulls) one after the other, and how many there are up to the end of each text."""
+        if self.pattern != CONTRACTED:
+            found = [self.findall(text) for text in texts.to_pylist()]
+            return pa.array([w for words in found for w in words], pa.string()), np.cumsum([0, *map(len, found)])[1:]
+        raw, ends = _buffer(texts)
+        chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), "<u4")
+        if not len(chars):
+            return pa.array([], pa.string()), np.zeros(len(texts), np.int64)
+        at = np.flatnonzero((raw & 0xC0) != 0x80)  # the byte of each character
+        text_ends = np.searchsorted(at, ends)
+        starts = starts_of_pieces(chars, text_ends)
+        bounds = np.r_[at[starts], len(raw)].astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(raw))
+        return pieces, np.searchsorted(starts, text_ends)
+
+
+def _buffer(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string or binary column without nulls, and where each value ends in them."""
+    _, ends, data = values.buffers()
+    ends = np.frombuffer(ends, np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw, ends[1:] - ends[0]
+
 
 @lru_cache(maxsize=4)
 def splitter(pattern: str) -> Splitter:
@@ -102,23 +168,39 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def pair_json(ranks: dict[bytes, int]) -> str:
-    slots: dict[int, list[str]] = {}
-    for piece, rank in ranks.items():
-        for cut in range(1, len(piece)):
-            left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
-            if left is not None and right is not None:
-                key = left << SHIFT | right
-                slots.setdefault(key % SLOTS, []).append(f'"{key}":{rank}')
-    return "[" + ",".join("{" + ",".join(slots.get(i, ())) + "}" for i in range(SLOTS)) + "]"
+def prefixes(ranks: dict[bytes, int]) -> dict[bytes, int]:
+    """``ranks``, and -1 for beginnings of entries that are no entries themselves."""
+    return {piece[:end]: -1 for piece in ranks for end in range(1, len(piece))} | ranks
 
 
-def pair_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<bigint,bigint>>: the id of every pair that merges, by both ids as one number, in slots.
+def rank_tables(words: list[bytes], known: dict[bytes, int]) -> pa.ListArray:
+    """For each word the ranks of its substrings, by where they begin and end; ``known``: see ``prefixes``.
 
-    The JSON text is constant and is folded into one literal when the plan is made.
+    The rank of the substring from i to j is at ``i * step + j``, and step at 0. Rows are as wide as two parts can be, at most
+    twice the longest entry in the word, and overlap in nothing, so that a table is linear in the length of a long word.
     """
-    return F.from_json(F.lit(pair_json(ranks)), "array<map<string,bigint>>").cast("array<map<bigint,bigint>>")
+    begin, end, rank, count, get = [], [], [], [], known.get
+    for word in words:
+        before, size = len(rank), len(word)
+        for i in range(size):
+            for j in range(i + 1, size + 1):
+                r = get(word[i:j])
+                if r is None:
+                    break
+                if r >= 0:
+                    begin.append(i)
+                    end.append(j)
+                    rank.append(r)
+        count.append(len(rank) - before)
+    begin, end, count, size = (np.array(x, np.int64) for x in (begin, end, count, list(map(len, words))))
+    longest = np.maximum.reduceat(end - begin, np.cumsum(count) - count) if words else count
+    step = np.minimum(size, 2 * longest) - 1
+    ends = np.cumsum((size - 1) * step + size + 1)
+    base = np.r_[0, ends[:-1]] if words else ends
+    flat = np.full(ends[-1] if words else 0, -1, np.int32)
+    flat[base] = step
+    flat[np.repeat(base, count) + begin * np.repeat(step, count) + end] = rank
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(flat, mask=flat < 0))
 
 
 def _let(value: Column, body) -> Column:
@@ -126,29 +208,28 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_word(word: Column, ranks: dict[bytes, int], pairs: Column) -> Column:
-    """Ids of one word (array of its bytes): ranked merges as a fold over the array, for words of any length.
+def fold_word(table: Column) -> Column:
+    """Ids of one word: ranked merges as a fold over the bounds of its parts, for words of any length.
 
-    Each step ranks the adjacent pairs, finds the smallest, the leftmost of equals, and merges it; a word without such
-    a pair is left as it is by the remaining steps. Words that are in the rank file themselves are not for this fold.
+    ``table`` is the word's one of ``rank_tables``. Each step ranks the adjacent pairs, finds the smallest, the leftmost of
+    equals, and removes the bound inside it. A word without such a pair is marked by its first bound, and left as it is by
+    the remaining steps. Words that are in the rank file themselves are not for this fold.
     """
-    single = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
-
-    def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left, SHIFT).bitwiseOR(right)
-        return F.try_element_at(F.get(pairs, (key % SLOTS).cast("int")), key)
+    step = F.get(table, F.lit(0))
+    size = ((F.size(table) + step - 1) / (step + 1)).cast("int")
+    inside = F.lit((1 << SHIFT) - 1)
 
-    def merge(parts: Column, ranked: Column, at: Column) -> Column:
-        # Past the pair the parts move up by one place.
-        moved = lambda x, i: F.when(i > at - 1, x).otherwise(F.get(F.when(i == at - 1, ranked).otherwise(parts), i))
-        return F.transform(F.slice(parts, F.lit(2), F.size(parts)), moved)
+    def merge(bounds: Column, _: Column) -> Column:
+        pair = lambda x, i: F.shiftleft(F.get(table, x * step + F.get(bounds, i + 2)).cast("long"), SHIFT) + F.get(bounds, i + 1)
+        marked = F.concat(F.array(F.lit(-1)), F.slice(bounds, F.lit(2), F.size(bounds)))
+        cut = lambda least: F.when(least.isNull(), marked).otherwise(F.array_remove(bounds, least.bitwiseAND(inside).cast("int")))
+        return F.when(F.get(bounds, F.lit(0)) < 0, bounds).otherwise(_let(F.array_min(F.transform(bounds, pair)), cut))
 
-    def step(parts: Column, _: Column) -> Column:
-        ranked = F.transform(parts, lambda x, i: rank(x, F.get(parts, i + 1)))
-        place = lambda r: F.array_position(r, F.array_min(r)).cast("int")
-        return _let(ranked, lambda r: _let(place(r), lambda at: F.when(at.isNull(), parts).otherwise(merge(parts, r, at))))
+    def ids(bounds: Column) -> Column:
+        own = lambda x, i: F.get(table, F.greatest(x, F.lit(0)) * step + F.get(bounds, i + 1))
+        return F.transform(F.slice(bounds, F.lit(1), F.size(bounds) - 1), own)
 
-    return F.aggregate(F.slice(word, F.lit(2), F.size(word)), F.transform(word, lambda b: F.get(single, b.cast("int"))), step)
+    return _let(_let(F.sequence(F.lit(0), size), lambda all_: F.aggregate(F.slice(all_, F.lit(3), F.size(all_)), all_, merge)), ids)
 
 
 def file_words(ranks: dict[bytes, int]) -> dict[str, int]:
@@ -166,10 +247,14 @@ def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
     """(word, n): in how many texts each word stands, of all words that are no entry of the rank file."""
 
     def run(batch: pa.RecordBatch):
-        cut, own, seen = splitter(pattern).findall, shared.value, Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(set(cut(text)) - own)
-        yield {"word": list(seen), "n": list(seen.values())}
+        pieces, ends = splitter(pattern).cut(batch.column(0))
+        coded, own = pieces.dictionary_encode(), shared.value
+        at, words = coded.indices.to_numpy(), coded.dictionary
+        new = np.fromiter((w not in own for w in words.to_pylist()), bool, len(words))
+        text = np.repeat(np.arange(len(ends)) * len(words), np.diff(ends, prepend=0))
+        once = np.sort((text + at)[new[at]])
+        n = np.bincount(once[np.diff(once, prepend=-1) > 0] % max(1, len(words)), minlength=len(words))
+        yield {"word": words.filter(pa.array(n > 0)), "n": n[n > 0]}
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(file_words(ranks)))
     counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
@@ -194,18 +279,24 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
         least = band
     if least == math.inf:
         return []
-    spelt = lambda b: iter([{"word": _listed([w or b"" for w in as_bytes(b.column(0))])}])
-    # The few files of counts are dealt anew, as folding is the work.
-    chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # Written: each new plan of a query with a shuffle would be described with the whole literal of ranks, in the driver.
-    known = materialize(map_batches(chosen, spelt, "word array<smallint>"))
-    folded = known.select("word", fold_word(F.col("word"), ranks, pair_literal(ranks)).cast("array<int>").alias("ids"))
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def spelt(batch: pa.RecordBatch):
+        words = as_bytes(batch.column(0))
+        yield {"word": words, "table": rank_tables(words, _worker_prefixes(shared))}
 
     def block(batch: pa.RecordBatch):
-        words, ends = _flat(batch.column(0))
-        hashes = [xxhash.xxh64_intdigest(words[a:b]) for a, b in _ranges(np.frombuffer(ends, "<i4"))]
-        yield {name: [buffer] for name, buffer in zip(BLOCK, (np.array(hashes, "<u8").tobytes(), words, ends, *_flat(batch.column(1), "<i4")))}
+        words = batch.column(0).to_pylist()
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], "<u8")
+        spelt_words = b"".join(words), np.cumsum([0, *map(len, words)])[1:].astype("<i4")
+        ids = batch.column(1)
+        starts = ids.offsets.to_numpy()
+        packed_ids = ids.flatten().to_numpy(zero_copy_only=False).astype("<i4"), (starts[1:] - starts[0]).astype("<i4")
+        yield {name: [bytes(buffer)] for name, buffer in zip(BLOCK, (hashes, *spelt_words, *packed_ids))}
 
+    # The few files of counts are dealt anew, as folding is the work.
+    chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    folded = map_batches(chosen, spelt, "word binary, table array<int>").select("word", fold_word(F.col("table")).alias("ids"))
     packed = map_batches(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
     rows, blocks = materialize(packed).collect(), []
     while rows:  # each row goes as its block is made, so that the driver holds one copy of the dictionary
@@ -213,86 +304,109 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
     return blocks
 
 
-def _ranges(ends: np.ndarray):
-    return zip(np.r_[0, ends[:-1]].tolist(), ends.tolist())
-
-
 BLOCK = ("hashes", "words", "word_ends", "ids", "id_ends")
 
 
-def _flat(lists: pa.ListArray, kind: str = "u1") -> tuple[bytes, bytes]:
-    """Lists of small integers as bytes of that kind, and where each list ends in them."""
-    ends = (lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()) * np.dtype(kind).itemsize
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes(), ends.astype("<i4").tobytes()
-
-
-def _listed(words: list[bytes]) -> pa.Array:
-    """Byte arrays, as Spark's arrays of small integers."""
-    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.int16)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(flat))
-
-
 #: Stands where a word's ids are yet to come.
-GAP = struct.pack("<i", -1)
+GAP = -1
 
 
 class _Words:
-    """Packed ids by word, in flat buffers sorted by the words' hashes; words are compared themselves."""
-
-    def __init__(self, blocks: list[tuple[bytes, ...]], words: dict[str, int]):
-        self.file = {w: struct.pack("<i", rank) for w, rank in words.items()}
-        self.words, self.ids = (b"".join(b[i] for b in blocks) for i in (1, 3))
-        bounds = []
-        for buffer, ends in ((1, 2), (3, 4)):
-            shift = np.cumsum([0, *(len(b[buffer]) for b in blocks)])
-            each = [np.frombuffer(b[ends], "<i4") + s for b, s in zip(blocks, shift)]
-            stop = np.concatenate([*each, np.zeros(0, np.int64)]).astype(np.int32)
-            bounds += [np.r_[np.int32(0), stop[:-1]], stop] if len(stop) else [stop, stop]
+    """Ids by word: a list for each id of the rank file, one for each word of the dictionary, and a gap.
+
+    Words of the dictionary are sorted by their hashes; words are compared themselves.
+    """
+
+    def __init__(self, blocks: list[tuple[bytes, ...]], ranks: dict[bytes, int]):
+        self.file, self.prefixes, self.words = file_words(ranks), prefixes(ranks), b"".join(b[1] for b in blocks)
+        shift = np.cumsum([0, *(len(b[1]) for b in blocks)])
+        stop = np.concatenate([*(np.frombuffer(b[2], "<i4") + s for b, s in zip(blocks, shift)), np.zeros(0, np.int64)]).astype(np.int32)
         hashes = np.concatenate([*(np.frombuffer(b[0], "<u8") for b in blocks), np.zeros(0, np.uint64)])
-        order = np.argsort(hashes)
-        self.hashes, self.bounds = hashes[order], [x[order] for x in bounds]
-
-    def look_up(self, words: list[str]) -> dict[str, bytes]:
-        """Packed ids of the words that are known."""
-        if not words or not len(self.hashes):
-            return {}
-        raw = [w.encode() for w in words]
+        self.order = np.argsort(hashes)
+        self.hashes, self.bounds = hashes[self.order], [x[self.order] for x in (np.r_[np.int32(0), stop[:-1]][: len(stop)], stop)]
+        self.first = max(ranks.values()) + 1
+        self.gap = self.first + len(hashes)
+        sizes = [np.diff(np.frombuffer(b[4], "<i4"), prepend=0) for b in blocks]
+        ends = np.cumsum(np.concatenate([[0], np.ones(self.first, np.int64), *sizes, [1]])).astype(np.int32)
+        values = np.concatenate([np.arange(self.first, dtype=np.int32), *(np.frombuffer(b[3], "<i4") for b in blocks), np.array([GAP], np.int32)])
+        self.lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+    def look_up(self, words: list[str]) -> np.ndarray:
+        """The place of each word in ``lists``."""
+        file = self.file.get
+        out = np.array([file(w, self.gap) for w in words], np.int64)
+        new = np.flatnonzero(out == self.gap)
+        if not len(new) or not len(self.hashes):
+            return out
+        raw = [words[i].encode() for i in new.tolist()]
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw))
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = np.flatnonzero(self.hashes[at] == hashes)
-        places = zip(hit.tolist(), *(x[at[hit]].tolist() for x in self.bounds))
-        return {words[i]: self.ids[c:d] for i, a, b, c, d in places if self.words[a:b] == raw[i]}
-
-    def place(self, texts: list[list[str]]) -> tuple[list[bytes], list[list[int]], list[list[list[int]]]]:
-        """For each cut text: packed ids with ``GAP`` for unknown words, those words by number, and their bytes."""
-        distinct, file = set().union(*texts), self.file
-        unknown = [w for w in distinct if w not in file]
-        local = self.look_up(unknown)
-        own = set(unknown) - local.keys()
-        local.update((w, file[w]) for w in distinct if w in file)
-        local.update((w, GAP) for w in own)
-        packed, gaps, rare = [], [], []
-        for pieces in texts:
-            packed.append(b"".join(map(local.__getitem__, pieces)))
-            open_ = list(filter(own.__contains__, pieces))
-            number = {w: i for i, w in enumerate(dict.fromkeys(open_))}
-            gaps.append([number[w] for w in open_])
-            rare.append([list(w.encode()) for w in number])
-        return packed, gaps, rare
-
-
-def _runs(texts: list[bytes]) -> pa.Array:
-    """Packed ids of each text as runs between gaps: array<array<int>>."""
-    flat = np.frombuffer(b"".join(texts), np.int32)
-    ends = np.cumsum([len(t) // 4 for t in texts]).astype(np.int64)
-    gaps = np.flatnonzero(flat < 0)
-    # A text ends before a gap at the same place, which is the next text's.
-    bounds = np.sort(np.concatenate([ends * 2, gaps * 2 + 1]))
-    at = bounds // 2
-    run_ends = at - np.searchsorted(gaps, at)
-    rows = np.arange(1, len(ends) + 1) + np.searchsorted(gaps, ends)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, run_ends].astype(np.int32)), pa.array(flat[flat >= 0]))
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, rows].astype(np.int32)), lists)
+        known = at[hit]
+        places = zip(hit.tolist(), *(x[known].tolist() for x in self.bounds))
+        same = np.fromiter((self.words[a:b] == raw[i] for i, a, b in places), bool, len(hit))
+        out[new[hit[same]]] = self.first + self.order[known[same]]
+        return out
+
+    def place(self, pieces: pa.Array, ends: np.ndarray) -> dict[str, pa.Array]:
+        """For texts cut into ``pieces``: packed ids with ``GAP`` for unknown words, the numbers of those words among the
+        text's unknown ones, and their tables."""
+        coded = pieces.dictionary_encode()
+        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        rows = self.look_up(words)[at]
+        ids = self.lists.take(pa.array(rows))
+        text = np.arange(len(ends) + 1)
+        open_ = np.flatnonzero(rows == self.gap)
+        of = np.searchsorted(ends, open_, side="right")
+        unknown, word = np.unique(at[open_], return_inverse=True)
+        own, number = np.unique(of * max(1, len(unknown)) + word, return_inverse=True)
+        first = np.searchsorted(own // max(1, len(unknown)), text)
+        tables = rank_tables([words[i].encode() for i in unknown.tolist()], self.prefixes)
+        rare = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), tables.take(pa.array(own % max(1, len(unknown)))))
+        known = _packed(ids.flatten().to_numpy(zero_copy_only=False), ids.offsets.to_numpy()[np.r_[0, ends]])
+        return {"known": known, "gaps": _packed(number - first[of], np.searchsorted(of, text)), "rare": rare}
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Runs of integers, 32 bits each, as a binary column."""
+    buffers = [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(values.astype(np.int32).tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw, ends = _buffer(column)
+    return raw.view("<i4"), ends // 4
+
+
+def filled(known: pa.Array, gaps: pa.Array, own: pa.ListArray) -> pa.ListArray:
+    """The ids of each text: its known ones, and in each gap those of the list in ``own`` that the gap names."""
+    ids, ends = _unpacked(known)
+    gap = np.flatnonzero(ids == GAP)
+    if not len(gap):
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(ids))
+    number, number_ends = _unpacked(gaps)
+    lists = own.values.take(pa.array(number + np.repeat(own.offsets.to_numpy()[:-1], np.diff(number_ends, prepend=0))))
+    sizes = np.ones(len(ids), np.int64)
+    sizes[gap] = new = np.diff(lists.offsets.to_numpy())
+    stop = np.cumsum(sizes)
+    out = np.full(stop[-1], GAP, np.int32)
+    out[(stop - sizes)[ids != GAP]] = ids[ids != GAP]
+    out[np.repeat(stop[gap] - np.cumsum(new), new) + np.arange(new.sum())] = lists.flatten().to_numpy(zero_copy_only=False)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, stop][np.r_[0, ends]].astype(np.int32)), pa.array(out))
+
+
+def placed(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
+    """(doc_id, known, gaps, own): what ``filled`` makes each text's ids of."""
+    spark, ranks = docs.sparkSession, load_ranks(rank_path)
+    known = spark.sparkContext.broadcast(dictionary(docs, ranks, pattern, most))
+    shared = spark.sparkContext.broadcast(ranks)
+
+    def run(batch: pa.RecordBatch):
+        yield {"doc_id": batch.column(0)} | _worker_words(known, shared).place(*splitter(pattern).cut(batch.column(1)))
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    cut = map_batches(texts, run, "doc_id long, known binary, gaps binary, rare array<array<int>>")
+    return cut.select("doc_id", "known", "gaps", F.transform("rare", fold_word).alias("own"))
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -301,34 +415,27 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
     Null and empty texts have no ids. One row for each row of ``docs``; an empty table gives none. Other columns, and
     repeated or missing doc_ids, are of no account.
     """
-    spark, ranks = docs.sparkSession, load_ranks(rank_path)
-    known = spark.sparkContext.broadcast(dictionary(docs, ranks, pattern, most))
-    shared = spark.sparkContext.broadcast(file_words(ranks))
-
-    def run(batch: pa.RecordBatch):
-        cut, ids = splitter(pattern).findall, _worker_words(known, shared)
-        texts, gaps, rare = ids.place([cut(text) for text in batch.column(1).to_pylist()])
-        yield {"doc_id": batch.column(0), "runs": _runs(texts), "gaps": gaps, "rare": rare}
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    placed = map_batches(texts, run, "doc_id long, runs array<array<int>>, gaps array<int>, rare array<array<smallint>>")
-    pairs = pair_literal(ranks)
-    own = F.transform("rare", lambda w: fold_word(w, ranks, pairs).cast("array<int>"))
-    placed = placed.select("doc_id", "runs", "gaps", F.when(F.size("rare") > 0, own).alias("own"))
-    # Each run of known ids is followed by the word in the gap behind it.
-    filled = F.flatten(F.zip_with("runs", "gaps", lambda r, g: F.concat(r, F.coalesce(F.get("own", g), F.array().cast("array<int>")))))
-    return placed.select("doc_id", F.when(F.col("own").isNull(), F.get("runs", F.lit(0))).otherwise(filled).alias("ids"))
+    run = lambda b: iter([{"doc_id": b.column(0), "ids": filled(*b.columns[1:])}])
+    return map_batches(placed(docs, rank_path, pattern, most), run, "doc_id long, ids array<int>")
 
 
-_CACHE: dict[int, _Words] = {}
+_CACHE: dict[int, object] = {}
 
 
-def _worker_words(known, words) -> _Words:
+def _worker_words(known, ranks) -> _Words:
     """The dictionary of a Python worker, built once and replaced when another broadcast arrives."""
     key = id(known.value)
     if key not in _CACHE:
         _CACHE.clear()
-        _CACHE[key] = _Words(known.value, words.value)
+        _CACHE[key] = _Words(known.value, ranks.value)
+    return _CACHE[key]
+
+
+def _worker_prefixes(ranks) -> dict[bytes, int]:
+    key = id(ranks.value)
+    if key not in _CACHE:
+        _CACHE.clear()
+        _CACHE[key] = prefixes(ranks.value)
     return _CACHE[key]
 
 
@@ -373,7 +480,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     decimals = docs.sparkSession.sparkContext.broadcast(pa.array([b"%d," % i for i in range(max(ranks.values()) + 1)], pa.binary()))
 
     def run(batch: pa.RecordBatch):
-        each = _documents(batch.column(1))
+        each = _documents(filled(*batch.columns[1:]))
         yield {
             "doc_id": batch.column(0),
             "n_tokens": [len(ids) for ids in each],
@@ -382,7 +489,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         }
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(encode(docs, rank_path, pattern), run, schema)
+    return map_batches(placed(docs, rank_path, pattern), run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
