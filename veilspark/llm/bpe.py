@@ -123,6 +123,11 @@ def _buffer(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends[1:] - ends[0]
 
 
+def _strings(values: pa.Array) -> list[str]:
+    """Many short strings, several times as fast as ``to_pylist``."""
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
 @lru_cache(maxsize=4)
 def splitter(pattern: str) -> Splitter:
     return Splitter(pattern)
@@ -250,7 +255,7 @@ def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
         pieces, ends = splitter(pattern).cut(batch.column(0))
         coded, own = pieces.dictionary_encode(), shared.value
         at, words = coded.indices.to_numpy(), coded.dictionary
-        new = np.fromiter((w not in own for w in words.to_pylist()), bool, len(words))
+        new = np.fromiter((w not in own for w in _strings(words)), bool, len(words))
         text = np.repeat(np.arange(len(ends)) * len(words), np.diff(ends, prepend=0))
         once = np.sort((text + at)[new[at]])
         n = np.bincount(once[np.diff(once, prepend=-1) > 0] % max(1, len(words)), minlength=len(words))
@@ -352,7 +357,7 @@ class _Words:
         """For texts cut into ``pieces``: packed ids with ``GAP`` for unknown words, the numbers of those words among the
         text's unknown ones, and their tables."""
         coded = pieces.dictionary_encode()
-        at, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        at, words = coded.indices.to_numpy(), _strings(coded.dictionary)
         rows = self.look_up(words)[at]
         ids = self.lists.take(pa.array(rows))
         text = np.arange(len(ends) + 1)
