@@ -64,3 +64,15 @@ def test_unlike_members_of_a_bucket_give_no_rows(spark, monkeypatch):
     roots = {r.v: r.root for r in m.linked(members, lambda wanted: sets).collect()}
     assert roots[3] == roots[60] and roots[7] == roots[61] and len(set(roots.values())) == 2
     assert sorted(seen) == [(3, 60), (7, 61)]
+
+
+def test_roots_are_looked_up_once_a_set(spark, monkeypatch):
+    """A set in 40 buckets is one row of the join with roots, not 40, and keeps all of its buckets."""
+    members = spark.range(40 * 30).selectExpr("id % 40 as key", "id div 40 as set_id", "7L as n")
+    roots = spark.createDataFrame([(s, s % 3) for s in range(20)], "v long, root long")
+    plans, materialize = [], m.materialize
+    monkeypatch.setattr(m, "materialize", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or materialize(df))
+    got = m.with_roots(members, roots)
+    assert {tuple(r) for r in got.collect()} == {(k, s, 7, s % 3 if s < 20 else s) for k in range(40) for s in range(30)} and got.count() == 1200
+    (plan,) = plans
+    assert plan.index("Generate explode") < plan.index("Join LeftOuter") < plan.index("Aggregate [set_id")

@@ -192,8 +192,11 @@ def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
 
 
 def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (key, set_id, n) with each set's root, which is looked up once for a set, whatever number of buckets it is in."""
+    each = members.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list("key").alias("keys"))
     own = F.coalesce("root", "set_id").alias("root")
-    return materialize(members.join(roots, F.col("set_id") == F.col("v"), "left").select("key", "set_id", "n", own))
+    rooted = each.join(roots, F.col("set_id") == F.col("v"), "left").select("keys", "set_id", "n", own)
+    return materialize(rooted.select(F.explode("keys").alias("key"), "set_id", "n", "root"))
 
 
 def linked(members: DataFrame, fetch, similar: int = SIMILAR, roots: DataFrame | None = None) -> DataFrame:
