@@ -424,24 +424,24 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
     return map_batches(placed(docs, rank_path, pattern, most), run, "doc_id long, ids array<int>")
 
 
-_CACHE: dict[int, object] = {}
+#: What a Python worker has built last, with the broadcast value it was built of, which is so kept from being freed.
+_CACHE: dict[str, tuple] = {}
+
+
+def _built(kind: str, value, build):
+    if kind not in _CACHE or _CACHE[kind][0] is not value:
+        _CACHE.clear()
+        _CACHE[kind] = value, build()
+    return _CACHE[kind][1]
 
 
 def _worker_words(known, ranks) -> _Words:
     """The dictionary of a Python worker, built once and replaced when another broadcast arrives."""
-    key = id(known.value)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = _Words(known.value, ranks.value)
-    return _CACHE[key]
+    return _built("words", known.value, lambda: _Words(known.value, ranks.value))
 
 
 def _worker_prefixes(ranks) -> dict[bytes, int]:
-    key = id(ranks.value)
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = prefixes(ranks.value)
-    return _CACHE[key]
+    return _built("prefixes", ranks.value, lambda: prefixes(ranks.value))
 
 
 def piece_table(ranks: dict[bytes, int]) -> pa.Array:
