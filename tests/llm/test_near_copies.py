@@ -73,3 +73,37 @@ def test_fingerprints_link_before_bands(spark, monkeypatch):
     assert [got[i].fp for i in range(3)] == [near_copies.of_set(shingles(t.encode(), 5)) for t in texts]
     monkeypatch.setattr(near_copies, "of_set", lambda found: 7)
     assert {r.doc_id for r in near_copies.one_of_each(docs).collect()} == {0, 2}
+
+
+def test_texts_stay_in_place(spark, monkeypatch):
+    """Rows that stay are found by the few that go: no text is shuffled or sorted; with many that go, the rows are the same."""
+    from veilspark.llm import common, exact_dedup
+
+    base = [f"w{x}" for x in np.random.default_rng(5).integers(0, 10_000, 400)]
+    texts = [" ".join(base), " ".join([*base, "fim"]), " ".join(base[::-1]), None, "um dois", " UM  dois", "um dois"]
+    docs = spark.createDataFrame([(i if i != 2 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    plans, written, limit, most = [], [], "spark.sql.autoBroadcastJoinThreshold", common.FEW
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    for module in (common, exact_dedup, near_copies):
+        monkeypatch.setattr(module, "materialize", lambda df, f=common.materialize: written.append(df) or f(df))
+    for stage, want in ((near_copies.one_of_each, {0, None, 3, 4}), (exact_dedup.kept_documents, {0, 1, None, 3, 4, 5})):
+        for few in (most, 0):
+            monkeypatch.setattr(common, "FEW", few)
+            out = stage(docs)
+            assert {r.doc_id for r in out.collect()} == want and out.count() == len(want)
+            plans.append([x._jdf.queryExecution().executedPlan().toString() for x in (out, *(w for w in written if "text" in w.columns))])
+            written.clear()
+    spark.conf.set(limit, before)
+    for at in (0, 2):
+        assert "BroadcastHashJoin" in plans[at][0] and not any("hashpartitioning" in p for p in plans[at])
+
+
+def test_batches_are_short(spark):
+    """Whole texts reach Python in batches of about 2 MB, all of them."""
+    from veilspark.llm.common import map_batches
+
+    seen = spark.range(0, 40, 1, 1).selectExpr("id", "repeat('abcdefgh', 32768) as text")
+    got = map_batches(seen, lambda b: iter([{"n": [b.num_rows]}]), "n long").agg({"n": "sum"}).first()[0]
+    assert got == 40
+    assert seen.mapInArrow(lambda batches: (b.slice(0, 1).select(["id"]) for b in batches), "id long").count() >= 4

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ROW, keyed, materialize, shared_dir
+from veilspark.llm.common import ROW, keyed, materialize, rows_kept, shared_dir
 
 #: ASCII white space, deleted before texts are compared.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -137,7 +137,7 @@ def kept_documents(docs: DataFrame, index: DigestIndex | None = None, batch: str
     rows = keyed(docs)
     fresh = materialize(index.unseen(_groups(digests(rows, ROW)), batch))
     index.append(fresh, batch)
-    return rows.join(fresh.select(ROW), ROW, "left_semi").select(docs.columns)
+    return rows_kept(rows, fresh).select(docs.columns)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

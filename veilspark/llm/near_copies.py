@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import ROW, as_bytes, keyed, map_batches, materialize
+from veilspark.llm.common import ROW, as_bytes, keyed, map_batches, materialize, rows_kept, sent_if_few
 from veilspark.llm.minhash_dedup import buckets, confirmed, found_sets, joined, linked, shingles
 from veilspark.llm.simhash_dedup import linked_fingerprints, of_set
 
@@ -77,7 +77,7 @@ def groups(rows: DataFrame) -> DataFrame:
     members = materialize(buckets(sets.select(F.explode("bands").alias("key"), "set_id", "n")))
     wanted = members.select("set_id").union(pairs.select("a")).union(pairs.select("b")).distinct()
     first = materialize(sets.join(wanted, "set_id").select("set_id", F.col("row").alias(ROW)))
-    found = found_sets(rows.join(first, ROW), SHINGLE)
+    found = found_sets(rows.select(ROW, "text").join(sent_if_few(first), ROW), SHINGLE)
     known = joined(None, confirmed(pairs, found, SIMILAR))
     roots = linked(members, lambda _: found, SIMILAR, known)
     return signed.join(roots, F.col("set_id") == F.col("v"), "left").select("row", F.coalesce("root", "set_id").alias("root"))
@@ -89,4 +89,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     ids = rows.select(F.col(ROW).alias("row"), F.col("doc_id").cast("long").alias("doc_id")).join(groups(rows), "row")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"))
     kept = materialize(best.select(F.col("best.row").alias(ROW)))
-    return rows.join(kept, ROW, "left_semi").select(docs.columns)
+    return rows_kept(rows, kept).select(docs.columns)

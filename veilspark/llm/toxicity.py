@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize, portions
+from veilspark.llm.common import as_bytes, map_batches, materialize, portions, short_batches
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: Hashed space of the subsequences.
@@ -315,6 +315,7 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
