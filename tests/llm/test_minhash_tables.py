@@ -76,3 +76,28 @@ def test_roots_are_looked_up_once_a_set(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == {(k, s, 7, s % 3 if s < 20 else s) for k in range(40) for s in range(30)} and got.count() == 1200
     (plan,) = plans
     assert plan.index("Generate explode") < plan.index("Join LeftOuter") < plan.index("Aggregate [set_id")
+
+
+def test_parts_of_one_component_are_not_laid_out(spark):
+    """Parts that only linked sets have give no table keys; those that another component has too give all of theirs."""
+    sets = [(1, [11, 12], [21, 22], 1), (2, [11, 12], [21, 22], 1), (3, [12, 13], [22, 23], 3)]
+    rows = spark.createDataFrame([(s, 5, a, b, r) for s, a, b, r in sets], "set_id long, n long, a array<long>, b array<long>, root long")
+    assert m.table_keys(rows.where("root = 1")).isEmpty()
+    key = spark.range(1).select(F.xxhash64(F.lit(12).cast("long"), F.lit(22).cast("long"))).first()[0]
+    assert {tuple(r) for r in m.table_keys(rows).collect()} == {(key, 1, 5, 1), (key, 2, 5, 1), (key, 3, 5, 3)}
+
+
+def test_near_copies_are_not_laid_out_again(spark, monkeypatch):
+    """120 near copies beside one set that is too far from them: no round lays out their memberships in 144 tables again."""
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 30, 200)]
+    texts = [" ".join(base[:at] + [f"n{at}"] + base[at + 1 :]) for at in range(0, 120)]
+    far = list(base)
+    for at in range(0, 200, 12):
+        far[at] = f"f{at}"
+    docs = spark.createDataFrame(list(enumerate([*texts, " ".join(far)])), "doc_id long, text string")
+    laid, with_roots = [], m.with_roots
+    monkeypatch.setattr(m, "with_roots", lambda *a: laid.append(with_roots(*a)) or laid[-1])
+    got = {r.doc_id: r.component_id for r in m.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < 120 else 120 for i in range(121)}
+    assert sum(x.count() for x in laid) <= 12 * 121

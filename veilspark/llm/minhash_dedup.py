@@ -4,7 +4,9 @@ A document's set of word shingles gives two small collections of keys, twelve ea
 144 table keys are the pairs of a key of the first collection and one of the second: 72 minima do the work of 864. A pair
 of sets of similarity 0.8 misses all tables once in about 2,800 times, one of 0.85 once in 46,000.
 
-Equal sets are one from the start. Tables then settle in rounds. In each, a few heads of a bucket are compared to those of
+Equal sets are one from the start. The twelve tables of keys of equal number come first, with few heads, and link most of a
+group of near copies. Of the 144 tables, only keys are laid out that several of the components so found may share: a key all
+of whose sets are linked already can't add a link. Tables settle in rounds. In each, a few heads of a bucket are compared to those of
 its members that are in another component so far; full sets decide. Links are contracted to components, heads that are
 done leave, and a bucket is over when its members are of one component. So a bucket of thousands of copies costs one pass
 from one head, and no link between members of a bucket is lost.
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize
+from veilspark.llm.common import as_bytes, map_batches, materialize, sent_if_few
 from veilspark.llm.components import connected_components
 
 SHINGLE = 2
@@ -38,10 +40,12 @@ SEED = 42
 CHUNK = 1 << 9
 #: Each round has so many times the heads of the one before.
 GROWTH = 16
+#: Rounds of the first tables, which need not find all links: the others hold the same keys and leave none out.
+FIRST_ROUNDS = 2
+#: Heads to begin with once most links are known: what stays apart in a bucket is mostly unlike, and is done in one round.
+MANY = 256
 #: 64-bit words of a set's parity bitmap.
 PARITY = 16
-#: Ids up to which a set of documents is sent to every executor (8 MB).
-FEW = 1 << 20
 #: Words whose hashes a worker keeps (4 MB); with more it was no faster.
 WORDS = 1 << 15
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -122,40 +126,53 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), run, schema)
 
 
+def _root(rows: DataFrame) -> Column:
+    """The known component of a row's set; without one, each set is its own."""
+    return F.col("root" if "root" in rows.columns else "set_id").alias("root")
+
+
+def first_keys(sets: DataFrame) -> DataFrame:
+    """(key, set_id, n): of the 144 table keys, those of two parts with equal numbers."""
+    keys = F.transform(F.arrays_zip("a", "b"), lambda x: F.xxhash64(x["a"], x["b"]))
+    return sets.select(F.explode(keys).alias("key"), "set_id", "n")
+
+
 def table_keys(sets: DataFrame) -> DataFrame:
-    """(key, set_id, n): a row for each pair of a key of the first collection and one of the second.
+    """(key, set_id, n, root): a row for each pair of a key of the first collection and one of the second.
 
-    A table key can only be shared if both of its parts are, so parts that a single set has are left out before pairing:
-    24 rows a set are shuffled instead of 144.
+    ``sets`` may have a ``root``, the component that is known of a set. Several components can only share a table key if they
+    share both of its parts, so parts that a single component has are left out before pairing: 24 rows a set are shuffled
+    instead of 144.
     """
     half = F.size("a")
-    parts = sets.select("set_id", "n", half.alias("half"), F.posexplode(F.concat("a", "b")).alias("at", "part"))
-    shared = parts.groupBy("part").agg(F.count("*").alias("c")).where("c > 1").select("part")
-    live = parts.join(shared, "part").groupBy("set_id", "n")
+    parts = sets.select("set_id", "n", _root(sets), half.alias("half"), F.posexplode(F.concat("a", "b")).alias("at", "part"))
+    shared = parts.groupBy("part").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("part")
+    live = parts.join(shared, "part").groupBy("set_id", "n", "root")
     live = live.agg(F.collect_list(F.when(F.expr("at < half"), F.col("part"))).alias("a"), F.collect_list(F.when(F.expr("at >= half"), F.col("part"))).alias("b"))
     pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.xxhash64(x, y))))
-    return live.select(F.explode(pairs).alias("key"), "set_id", "n")
+    return live.select(F.explode(pairs).alias("key"), "set_id", "n", "root")
 
 
 def buckets(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (key, set_id, n) in buckets of several members; of buckets with the same members, one is kept.
+    """The rows of ``keyed`` (key, set_id, n) in buckets of several components; of buckets with the same members, one is kept.
 
     Members are compared by their number and 128 bits of hashes, which add up before the shuffle in any order.
     """
     salted = F.xxhash64("set_id", F.lit("second"))
-    of = keyed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(salted).alias("y"))
-    kept = of.where("c > 1").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    ends = F.min(_root(keyed)).alias("lo"), F.max(_root(keyed)).alias("hi")
+    of = keyed.groupBy("key").agg(F.count("*").alias("c"), *ends, F.bit_xor(F.xxhash64("set_id")).alias("x"), F.bit_xor(salted).alias("y"))
+    kept = of.where("lo <> hi").groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
     return keyed.join(kept, "key")
 
 
 def whole_sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame, k: int = SHINGLE) -> DataFrame:
     """(set_id, found, p0, p1, ...): shingle hashes and bitmap of the sets in ``wanted`` (set_id), each from one text that has it."""
     wanted = materialize(wanted)
-    texts = signed.join(F.broadcast(wanted) if wanted.count() <= FEW else wanted, "set_id", "left_semi")
+    texts = signed.join(sent_if_few(wanted), "set_id", "left_semi")
     texts = materialize(texts.groupBy("set_id").agg(F.min(F.struct("text_id", "doc_id")).alias("t")).select("set_id", "t.*"))
     named = docs.select(F.col("doc_id").cast("long").alias("d"), "text", F.xxhash64("text").alias("h"))
     same = (F.col("h") == F.col("text_id")) & F.col("d").eqNullSafe(F.col("doc_id"))
-    return found_sets(named.join(F.broadcast(texts) if texts.count() <= FEW else texts, same), k)
+    return found_sets(named.join(sent_if_few(texts), same), k)
 
 
 def found_sets(texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -199,18 +216,21 @@ def with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(rooted.select(F.explode("keys").alias("key"), "set_id", "n", "root"))
 
 
-def linked(members: DataFrame, fetch, similar: int = SIMILAR, roots: DataFrame | None = None) -> DataFrame:
+def linked(members: DataFrame, fetch, similar: int = SIMILAR, roots: DataFrame | None = None, heads: int = 1, rounds: int | None = None) -> DataFrame:
     """(v, root) of the sets in ``members`` (key, set_id, n) that have links. ``fetch``: wanted set ids -> whole sets.
 
-    ``roots`` (v, root): links that are known before.
+    ``roots`` (v, root): links that are known before; ``members`` may have them as ``root`` already. ``heads``: heads of a
+    bucket in the first round. With ``rounds``, links may be left to a later call.
     """
-    sets, tried, heads = None, None, 1
+    sets, tried = None, None
     marks = [f"p{i}" for i in range(PARITY)]
-    members = members.withColumn("root", F.col("set_id")) if roots is None else with_roots(members, roots)
+    if "root" not in members.columns:
+        members = members.withColumn("root", F.col("set_id")) if roots is None else with_roots(members, roots)
     while True:
-        of = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("set_id").alias("first"), F.count("*").alias("size"))
+        each = members.groupBy("key", "root").agg(F.min("set_id").alias("first"), F.count("*").alias("c"))
+        of = each.groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.min("first").alias("first"), F.sum("c").alias("size"), F.count("*").alias("roots"))
         # Buckets of several components.
-        of = of.where("lo <> hi").select("key", "first", "size")
+        of = of.where("roots > 1").select("key", "first", "size", F.col("most.root").alias("most"), (F.col("size") - F.col("most.c")).alias("others"))
         open_ = materialize(members.join(of, "key"))
         if open_.isEmpty():
             return roots if roots is not None else open_.select(F.col("set_id").alias("v"), "root")
@@ -218,6 +238,8 @@ def linked(members: DataFrame, fetch, similar: int = SIMILAR, roots: DataFrame |
             sets = fetch(open_.select("set_id").distinct())
         share = F.pmod(F.xxhash64("set_id"), F.lit(1 << 20)) / (1 << 20)
         is_head = (F.col("set_id") == F.col("first")) if heads == 1 else (share * F.col("size") < heads)
+        # Links that are left in a bucket have an end outside its largest component; few such members are done at once.
+        is_head = F.when(F.col("others") <= heads, F.col("root") != F.col("most")).otherwise(is_head)
         open_ = open_.withColumn("head", is_head)
         marked = open_.join(sets.select("set_id", *marks), "set_id")
         h = marked.where("head").select("key", F.col("set_id").alias("a"), F.col("n").alias("m"), F.col("root").alias("other"), *[F.col(c).alias(f"q{c[1:]}") for c in marks])
@@ -230,7 +252,12 @@ def linked(members: DataFrame, fetch, similar: int = SIMILAR, roots: DataFrame |
         tried = pairs if tried is None else tried.unionByName(pairs)
         if roots is None or not found.isEmpty():
             roots = joined(roots, found)
-        members = with_roots(open_.where("not head").select("key", "set_id", "n"), roots)
+        rounds = rounds and rounds - 1
+        if rounds == 0:
+            return roots
+        # Buckets whose smaller components were all heads are over.
+        left = open_.where(~F.col("head") & (F.col("others") > heads))
+        members = with_roots(left.select("key", "set_id", "n"), roots)
         heads *= GROWTH
 
 
@@ -245,8 +272,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, similar: int = SIMILAR) -
     signed = materialize(signatures(docs, k))
     some = signed.where("n > 0")
     sets = materialize(some.groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("n", "a", "b")).alias("s")).select("set_id", "first_id", "s.*"))
-    members = materialize(buckets(materialize(table_keys(sets))))
-    roots = linked(members, lambda wanted: whole_sets(docs, signed, wanted, k), similar)
+    fetch = lambda wanted: whole_sets(docs, signed, wanted, k)
+    roots = linked(materialize(buckets(materialize(first_keys(sets)))), fetch, similar, rounds=FIRST_ROUNDS)
+    known = sets.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", "n", "a", "b", F.coalesce("root", "set_id").alias("root"))
+    members = materialize(buckets(materialize(table_keys(known))))
+    roots = linked(members, fetch, similar, roots, MANY)
     rooted = materialize(sets.join(roots, F.col("set_id") == F.col("v"), "left").select("set_id", "first_id", F.coalesce("root", "set_id").alias("root")))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     final = materialize(rooted.join(least, "root").select(F.col("set_id").alias("own"), "component_id"))
