@@ -107,3 +107,26 @@ def test_batches_are_short(spark):
     got = map_batches(seen, lambda b: iter([{"n": [b.num_rows]}]), "n long").agg({"n": "sum"}).first()[0]
     assert got == 40
     assert seen.mapInArrow(lambda batches: (b.slice(0, 1).select(["id"]) for b in batches), "id long").count() >= 4
+
+
+def test_workers_forget_other_stages(spark):
+    """A worker keeps its caches within a stage, and begins another one without those of any operator."""
+    from veilspark.llm import bpe, common, minhash_dedup, toxicity
+
+    caches = [bpe._CACHE, minhash_dedup._words, toxicity._SCORERS]
+    common.turn_to("one")
+    for x in caches:
+        x["x"] = 1
+    common.turn_to("one")
+    assert all(x.get("x") == 1 for x in caches)
+    common.turn_to("two")
+    assert not any(caches)
+    texts = spark.createDataFrame([("a b c",)] * 4, "text string").coalesce(1)
+
+    def words(batch):
+        m = minhash_dedup
+        before = len(m._words)
+        m.shingles(b"a b c")
+        yield {"n": [before]}
+
+    assert {r.n for _ in range(3) for r in common.map_batches(texts, words, "n long").collect()} == {0}

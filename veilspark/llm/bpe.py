@@ -22,7 +22,7 @@ import math
 import re
 import sys
 import unicodedata
-from functools import cached_property, lru_cache
+from functools import cached_property, lru_cache, partial
 from hashlib import sha256
 
 import numpy as np
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize
+from veilspark.llm.common import as_bytes, map_batches, materialize, worker_cache
 
 #: Bounds of the dictionary that is sent to the executors: words, and the bytes of a word in it.
 DICTIONARY_WORDS = 1 << 19
@@ -41,6 +41,8 @@ SHIFT = 31
 #: The pattern that is also cut in arrays of characters, all texts of a portion at a time.
 CONTRACTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = range(4)
+#: Of one stage to a worker: a task cuts texts in one worker and hashes ids in another, and they change places.
+of_texts = partial(map_batches, stage=__name__)
 
 
 @lru_cache(maxsize=1)
@@ -262,7 +264,7 @@ def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
         yield {"word": words.filter(pa.array(n > 0)), "n": n[n > 0]}
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(file_words(ranks)))
-    counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
+    counted = of_texts(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -301,8 +303,8 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
 
     # The few files of counts are dealt anew, as folding is the work.
     chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    folded = map_batches(chosen, spelt, "word binary, table array<int>").select("word", fold_word(F.col("table")).alias("ids"))
-    packed = map_batches(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
+    folded = of_texts(chosen, spelt, "word binary, table array<int>").select("word", fold_word(F.col("table")).alias("ids"))
+    packed = of_texts(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
     rows, blocks = materialize(packed).collect(), []
     while rows:  # each row goes as its block is made, so that the driver holds one copy of the dictionary
         blocks.append(tuple(map(bytes, rows.pop())))
@@ -410,7 +412,7 @@ def placed(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
         yield {"doc_id": batch.column(0)} | _worker_words(known, shared).place(*splitter(pattern).cut(batch.column(1)))
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = map_batches(texts, run, "doc_id long, known binary, gaps binary, rare array<array<int>>")
+    cut = of_texts(texts, run, "doc_id long, known binary, gaps binary, rare array<array<int>>")
     return cut.select("doc_id", "known", "gaps", F.transform("rare", fold_word).alias("own"))
 
 
@@ -421,11 +423,11 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
     repeated or missing doc_ids, are of no account.
     """
     run = lambda b: iter([{"doc_id": b.column(0), "ids": filled(*b.columns[1:])}])
-    return map_batches(placed(docs, rank_path, pattern, most), run, "doc_id long, ids array<int>")
+    return of_texts(placed(docs, rank_path, pattern, most), run, "doc_id long, ids array<int>")
 
 
 #: What a Python worker has built last, with the broadcast value it was built of, which is so kept from being freed.
-_CACHE: dict[str, tuple] = {}
+_CACHE: dict[str, tuple] = worker_cache({})
 
 
 def _built(kind: str, value, build):
@@ -472,7 +474,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         raw = [bytes(_joined(pieces.value, ids)) for ids in _documents(batch.column(1))]
         yield {"doc_id": batch.column(0), "raw": raw}
 
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, raw binary")
+    return of_texts(encoded.select("doc_id", "ids"), run, "doc_id long, raw binary")
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -494,7 +496,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         }
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_batches(placed(docs, rank_path, pattern), run, schema)
+    return of_texts(placed(docs, rank_path, pattern), run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

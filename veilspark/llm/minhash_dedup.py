@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize, sent_if_few
+from veilspark.llm.common import as_bytes, map_batches, materialize, sent_if_few, worker_cache
 from veilspark.llm.components import connected_components
 
 SHINGLE = 2
@@ -64,7 +64,7 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
+_words = worker_cache(_Words())
 
 
 def shingles(text: bytes, k: int = SHINGLE) -> np.ndarray:

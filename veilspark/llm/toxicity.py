@@ -15,6 +15,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize, portions, short_batches
+from veilspark.llm.common import as_bytes, map_batches, materialize, portions, short_batches, turn_to, worker_cache
 
 ORDER, SPAN, DECAY = 4, 6, 0.7
 #: Hashed space of the subsequences.
@@ -278,7 +279,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> Model:
     return fit_words((w.decode().split() for _, w, _ in packed), [y for _, _, y in packed])
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[int, Scorer] = worker_cache({})
 
 
 def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -316,12 +317,13 @@ def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     at = docs.columns.index("text")
     short_batches(docs.sparkSession)
+    stage = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn_to(stage)
         for batch in batches:
             for part in portions(batch):
                 yield part.filter(pa.array(_scores(shared.value, as_bytes(part.column(at))) < THRESHOLD))
-        _SCORERS.clear()  # later stages find the worker's memory free
 
     return docs.mapInArrow(run, docs.schema)
 
