@@ -52,3 +52,21 @@ def test_no_plan_holds_the_rank_file(spark, tmp_path):
     out = bpe.encode(docs, str(path), bpe.CONTRACTED)
     assert len(out._jdf.queryExecution().toString()) < 50_000
     assert {r.doc_id: len(r.ids) for r in out.collect()} == {1: 12, 2: 3, 3: 0}
+
+
+def test_python_works_once_in_a_task(spark, tmp_path, monkeypatch):
+    path = tmp_path / "r.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % i for i, p in enumerate(PIECES)))
+    docs = spark.createDataFrame([(i, f"abba xaab{i} ababx" * i) for i in range(40)] + [(40, None), (None, "abba")], "doc_id long, text string")
+    plans, write = [], bpe.materialize
+    functions = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("MapInArrow")
+
+    def materialize(df, *args):
+        plans.append(functions(df))
+        return write(df, *args)
+
+    monkeypatch.setattr(bpe, "materialize", materialize)
+    out = bpe.digests(docs, str(path), bpe.CONTRACTED)
+    assert max([*plans, functions(out)]) == 1
+    want = {i: sum(len(merged(w.encode())) for w in bpe.splitter(bpe.CONTRACTED).findall(t)) for i, t in docs.fillna("").collect()}
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == want

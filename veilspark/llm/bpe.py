@@ -12,6 +12,9 @@ holds the rank file.
    folded there by the same expression, and their ids fill the gaps. Nothing is shuffled by document, and the result
    doesn't depend on which words the dictionary holds. A word of one document is folded once in any case.
 
+Python works once in a task: what it makes for a fold is written when it is folded, and read again for the next function.
+Two functions in one task are two workers for each core, and all of them live on, with what they took, in later stages.
+
 Decoding concatenates the binary pieces of the ids: one gather from the table of pieces, document by document.
 """
 
@@ -22,7 +25,7 @@ import math
 import re
 import sys
 import unicodedata
-from functools import cached_property, lru_cache, partial
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilspark.llm.common import as_bytes, map_batches, materialize, worker_cache
+from veilspark.llm.common import PORTION, as_bytes, map_batches, materialize, worker_cache
 
 #: Bounds of the dictionary that is sent to the executors: words, and the bytes of a word in it.
 DICTIONARY_WORDS = 1 << 19
@@ -41,8 +44,8 @@ SHIFT = 31
 #: The pattern that is also cut in arrays of characters, all texts of a portion at a time.
 CONTRACTED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = range(4)
-#: Of one stage to a worker: a task cuts texts in one worker and hashes ids in another, and they change places.
-of_texts = partial(map_batches, stage=__name__)
+#: Bytes of texts that are cut beside the dictionary at a time: pieces, ids and tables take many times as much.
+CUT = PORTION // 4
 
 
 @lru_cache(maxsize=1)
@@ -264,7 +267,7 @@ def word_counts(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataF
         yield {"word": words.filter(pa.array(n > 0)), "n": n[n > 0]}
 
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(file_words(ranks)))
-    counted = of_texts(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
+    counted = map_batches(docs.select(F.coalesce("text", F.lit("")).alias("text")), run, "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -303,8 +306,8 @@ def dictionary(docs: DataFrame, ranks: dict[bytes, int], pattern: str, most: int
 
     # The few files of counts are dealt anew, as folding is the work.
     chosen = counts.where(_band(F.col("n")) >= least).select("word").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    folded = of_texts(chosen, spelt, "word binary, table array<int>").select("word", fold_word(F.col("table")).alias("ids"))
-    packed = of_texts(folded, block, ", ".join(f"{name} binary" for name in BLOCK))
+    folded = map_batches(chosen, spelt, "word binary, table array<int>").select("word", fold_word(F.col("table")).alias("ids"))
+    packed = map_batches(materialize(folded), block, ", ".join(f"{name} binary" for name in BLOCK))
     rows, blocks = materialize(packed).collect(), []
     while rows:  # each row goes as its block is made, so that the driver holds one copy of the dictionary
         blocks.append(tuple(map(bytes, rows.pop())))
@@ -403,7 +406,7 @@ def filled(known: pa.Array, gaps: pa.Array, own: pa.ListArray) -> pa.ListArray:
 
 
 def placed(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
-    """(doc_id, known, gaps, own): what ``filled`` makes each text's ids of."""
+    """(doc_id, known, gaps, own), written: what ``filled`` makes each text's ids of."""
     spark, ranks = docs.sparkSession, load_ranks(rank_path)
     known = spark.sparkContext.broadcast(dictionary(docs, ranks, pattern, most))
     shared = spark.sparkContext.broadcast(ranks)
@@ -412,8 +415,9 @@ def placed(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
         yield {"doc_id": batch.column(0)} | _worker_words(known, shared).place(*splitter(pattern).cut(batch.column(1)))
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    cut = of_texts(texts, run, "doc_id long, known binary, gaps binary, rare array<array<int>>")
-    return cut.select("doc_id", "known", "gaps", F.transform("rare", fold_word).alias("own"))
+    cut = map_batches(texts, run, "doc_id long, known binary, gaps binary, rare array<array<int>>", portion=CUT)
+    # Packed ids are half zeros, of which Snappy makes little.
+    return materialize(cut.select("doc_id", "known", "gaps", F.transform("rare", fold_word).alias("own")), "zstd")
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY_WORDS) -> DataFrame:
@@ -423,7 +427,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, most: int = DICTIONARY
     repeated or missing doc_ids, are of no account.
     """
     run = lambda b: iter([{"doc_id": b.column(0), "ids": filled(*b.columns[1:])}])
-    return of_texts(placed(docs, rank_path, pattern, most), run, "doc_id long, ids array<int>")
+    return map_batches(placed(docs, rank_path, pattern, most), run, "doc_id long, ids array<int>")
 
 
 #: What a Python worker has built last, with the broadcast value it was built of, which is so kept from being freed.
@@ -474,7 +478,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
         raw = [bytes(_joined(pieces.value, ids)) for ids in _documents(batch.column(1))]
         yield {"doc_id": batch.column(0), "raw": raw}
 
-    return of_texts(encoded.select("doc_id", "ids"), run, "doc_id long, raw binary")
+    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, raw binary")
 
 
 def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
@@ -496,7 +500,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
         }
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return of_texts(placed(docs, rank_path, pattern), run, schema)
+    return map_batches(placed(docs, rank_path, pattern), run, schema)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
